@@ -1,0 +1,50 @@
+"""Order headers meet order lines that arrive up to a day earlier or later."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators.orders import merge_order_wide, packed_header, packed_line
+from tidemark.schemas import ORDER_WAIT_HOURS
+
+
+def join_order_streams(
+    headers: DataFrame,
+    lines: DataFrame,
+    wait: str = f"{ORDER_WAIT_HOURS} hours",
+    delay: str = "10 minutes",
+    salts: int = 8,
+) -> DataFrame:
+    """Matched pairs as wide rows; what finds no partner within ``wait`` is forgotten.
+
+    Both inputs carry ``arrived_at``: waiting is measured between arrivals, not between the
+    ``create_time`` values. ``delay`` allows for messages whose arrival time runs behind.
+
+    Lines of an order are spread over ``salts`` groups and its header goes to each, so that one
+    order with a large part of all lines does not end up in one task. The price is ``salts`` copies
+    of every waiting header; 1 turns it off. A header that is sent again gives its pairs again, which
+    the result table absorbs by key.
+    """
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    left = headers.withWatermark("arrived_at", delay).select(
+        F.col("arrived_at").alias("header_at"),
+        spread.alias("header_salt"),
+        F.col("id").alias("header_order_id"),
+        packed_header(),
+    )
+    right = lines.withWatermark("arrived_at", delay).select(
+        F.col("arrived_at").alias("line_at"),
+        F.pmod(F.xxhash64("id", "sku_id"), F.lit(salts)).cast("int").alias("line_salt"),
+        F.col("order_id").alias("line_order_id"),
+        packed_line(),
+    )
+    waited = F.expr(f"interval {wait}")
+    pairs = left.join(
+        right,
+        (F.col("header_order_id") == F.col("line_order_id"))
+        & (F.col("header_salt") == F.col("line_salt"))
+        & (F.col("line_at") >= F.col("header_at") - waited)
+        & (F.col("line_at") <= F.col("header_at") + waited),
+    )
+    return merge_order_wide(pairs)

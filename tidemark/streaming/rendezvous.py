@@ -1,0 +1,90 @@
+"""The order join with processing-time waiting, as a keyed stateful operator.
+
+Same result as :func:`tidemark.streaming.order_join.join_order_streams`, which is the default: it
+runs without Python workers. This form waits by the clock of the job (time to live of the state)
+instead of by arrival times. It needs the RocksDB state store; see
+:func:`tidemark.streaming.jobs.streaming_session`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tidemark.operators.orders import merge_order_wide, packed_header, packed_line
+from tidemark.schemas import ORDER_DETAIL, ORDER_INFO_ENRICHED, ORDER_WAIT_HOURS
+
+PAIR = "header string, line string"
+
+
+class _Rendezvous(StatefulProcessor):
+    """Keeps the header, and the lines that came before it; values are JSON text."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.header = handle.getValueState("header", "value string", ttlDurationMs=self.wait_ms)
+        self.parked = handle.getListState("lines", "value string", ttlDurationMs=self.wait_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.header.get()
+        header = known[0] if known is not None else None
+        for batch in rows:
+            headers, lines = batch["header"].dropna(), batch["line"].dropna()
+            if len(headers):
+                header = headers.iloc[-1]
+                self.header.update((header,))
+            if header is None:
+                for line in lines.unique():
+                    self.parked.appendValue((line,))
+            elif len(lines):
+                yield pd.DataFrame({"header": header, "line": lines})
+        if header is not None and self.parked.exists():
+            for (line,) in self.parked.get():
+                yield pd.DataFrame({"header": [header], "line": [line]})
+            self.parked.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def rendezvous_orders(
+    headers: DataFrame,
+    lines: DataFrame,
+    wait_ms: int = ORDER_WAIT_HOURS * 3600 * 1000,
+    salts: int = 8,
+) -> DataFrame:
+    """Matched pairs of two streams as wide rows.
+
+    Spreads the lines of an order over ``salts`` groups as the default form does.
+    """
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    nothing = F.lit(None).cast("string")
+    left = headers.select(
+        F.col("id").alias("order_id"),
+        spread.alias("salt"),
+        F.to_json(packed_header()).alias("header"),
+        nothing.alias("line"),
+    )
+    right = lines.select(
+        "order_id",
+        F.pmod(F.xxhash64("id", "sku_id"), F.lit(salts)).cast("int").alias("salt"),
+        nothing.alias("header"),
+        F.to_json(packed_line()).alias("line"),
+    )
+    pairs = (
+        left.union(right)
+        .groupBy("order_id", "salt")
+        .transformWithStateInPandas(_Rendezvous(wait_ms), PAIR, "Append", "ProcessingTime")
+    )
+    return merge_order_wide(
+        pairs.select(
+            F.from_json("header", ORDER_INFO_ENRICHED).alias("header"),
+            F.from_json("line", ORDER_DETAIL).alias("line"),
+        )
+    )
