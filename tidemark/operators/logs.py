@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas as s
 from tidemark.functions.json_text import long_of, looks_like_object, object_array, text_members
+from tidemark.functions.once import with_once
 
 ENVELOPE = "_envelope"
 
@@ -26,12 +27,9 @@ ENVELOPE = "_envelope"
 def parse_log(lines: DataFrame) -> DataFrame:
     """Adds the top-level members of each line in ``value`` as a map of name -> JSON text.
 
-    A map keeps "present but null" apart from "absent". It goes through a one-element explode so
-    that it stays a column: inlined into every later filter and projection, the JSON parse would
-    run once per use.
+    A map keeps "present but null" apart from "absent".
     """
-    envelope = F.from_json("value", "map<string,string>")
-    return lines.select("*", F.explode(F.array(envelope)).alias(ENVELOPE))
+    return with_once(lines, F.from_json("value", "map<string,string>"), ENVELOPE)
 
 
 # -- conditions on a parsed line ------------------------------------------------------------------

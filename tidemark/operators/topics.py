@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions.json_text import text_members, typed_members
+from tidemark.functions.once import with_once
 
 
 def bind_topic(messages: DataFrame, schema: StructType) -> DataFrame:
@@ -16,8 +17,8 @@ def bind_topic(messages: DataFrame, schema: StructType) -> DataFrame:
     zero when missing.
     """
     others = [c for c in messages.columns if c != "value"]
-    members = text_members(F.col("value"), schema.fieldNames()).alias("_members")
-    bound = messages.select(*others, members)
+    members = text_members(F.col("value"), schema.fieldNames())
+    bound = with_once(messages, members, "_members")
     return bound.select(*others, *typed_members(F.col("_members"), schema))
 
 

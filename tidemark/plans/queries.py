@@ -16,11 +16,11 @@ from tidemark import schemas as s
 from tidemark.functions.dates import local_date
 from tidemark.functions.json_text import text_members
 from tidemark.operators import changes as ch
+from tidemark.operators import dau
 from tidemark.operators import documents as docs
 from tidemark.operators import logs
 from tidemark.operators import orders as od
 from tidemark.operators import report
-from tidemark.operators.topics import bind_topic
 from tidemark.plans import pipelines as pl
 from tidemark.sources import star
 from tidemark.sources import tables as tb
@@ -109,9 +109,7 @@ def dim_latest_deletes(spark, sf_dir):
 
 
 def first_pages(spark, sf_dir):
-    from tidemark.operators.dau import first_pages as first
-
-    return first(logs.split_pages(_parsed(spark, sf_dir)))
+    return dau.first_pages(logs.split_pages(_parsed(spark, sf_dir)))
 
 
 def dau_dedup(spark, sf_dir):
@@ -186,39 +184,38 @@ def order_unmatched(spark, sf_dir):
     return od.waiting_headers(headers, _lines(spark, sf_dir)).select("id", "user_id", "create_time")
 
 
-def _cdc_orders(spark, sf_dir):
-    """Headers and lines from the change log: only inserts go to the topics that are joined."""
+def _routed(spark, sf_dir):
     lines, facts = _changes(spark, sf_dir)
-    messages = pl.topic_messages(lines, facts)
-    dims = pl.dimension_rows(lines, facts)
-    headers = pl.enriched_headers(
-        pl.on_topic(messages, s.ORDER_INFO_TOPIC), tb.user_dim(dims), tb.province_dim(dims), AS_OF
-    )
-    return headers, pl.bound_lines(pl.on_topic(messages, s.ORDER_DETAIL_TOPIC))
+    return pl.routed_changes(lines, f"{scratch_folder(spark)}/changes"), facts
+
+
+def _inserted(changes, facts):
+    """Headers and lines from the change log: only inserts go to the topics that are joined."""
+    headers = pl.bound_headers(pl.messages_of(changes, facts, s.ORDER_INFO_TOPIC))
+    lines = pl.bound_lines(pl.messages_of(changes, facts, s.ORDER_DETAIL_TOPIC))
+    return headers, lines
 
 
 def cdc_order_wide(spark, sf_dir):
     """Change log to wide rows, dimensions from the change log too."""
-    return od.join_orders(*_cdc_orders(spark, sf_dir))
+    changes, facts = _routed(spark, sf_dir)
+    headers, lines = _inserted(changes, facts)
+    dims = ch.latest_dims(ch.dim_changes(changes, facts), ["seq"])
+    enriched = od.enrich_orders(headers, tb.user_dim(dims), tb.province_dim(dims), AS_OF)
+    return od.join_orders(enriched, lines)
 
 
 def order_pairs(spark, sf_dir):
     """Full outer pairing of inserted headers and lines."""
-    lines, facts = _changes(spark, sf_dir)
-    messages = pl.topic_messages(lines, facts)
-    headers = pl.bound_headers(pl.on_topic(messages, s.ORDER_INFO_TOPIC))
-    bound = bind_topic(headers.select(F.to_json(F.struct("*")).alias("value")), s.ORDER_INFO_ENRICHED)
-    pairs = od.pair_orders(bound, pl.bound_lines(pl.on_topic(messages, s.ORDER_DETAIL_TOPIC)))
+    pairs = od.pair_orders(*_inserted(*_routed(spark, sf_dir)))
     return pairs.select(
         "order_id", F.col("header.id").alias("header_id"), F.col("line.id").alias("detail_id")
     )
 
 
 def order_waiting_lines(spark, sf_dir):
-    lines, facts = _changes(spark, sf_dir)
-    messages = pl.topic_messages(lines, facts)
-    headers = pl.bound_headers(pl.on_topic(messages, s.ORDER_INFO_TOPIC))
-    parked = od.waiting_lines(headers, pl.bound_lines(pl.on_topic(messages, s.ORDER_DETAIL_TOPIC)))
+    """Lines of orders whose header was never inserted."""
+    parked = od.waiting_lines(*_inserted(*_routed(spark, sf_dir)))
     return parked.select("id", "order_id", "sku_id", "order_price")
 
 

@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than that.
+
+    A small table is one file with one row group: a single task would read it and do all the work up
+    to the first shuffle. Tables with enough splits are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _text(column: Column) -> Column:
     return column.cast("string")
 
@@ -104,13 +114,13 @@ LOG_MEMBERS = ["common", "start", "page", "err", "actions", "displays", "ts"]
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(event_id, value)``: one log line per event; ``event_id`` is the arrival order."""
-    parts = _log_parts(table(spark, sf_dir, "events"))
+    parts = _log_parts(_spread(table(spark, sf_dir, "events")))
     return parts.select("event_id", F.to_json(F.struct(*LOG_MEMBERS)).alias("value"))
 
 
 def damaged_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of which most are broken in one of several ways, by ``event_id``."""
-    lines = _log_parts(table(spark, sf_dir, "events")).select(
+    lines = _log_parts(_spread(table(spark, sf_dir, "events"))).select(
         "event_id",
         F.to_json(F.struct(*LOG_MEMBERS)).alias("good"),
         F.to_json(F.struct(*[c for c in LOG_MEMBERS if c != "ts"])).alias("no_ts"),
@@ -213,7 +223,7 @@ def _detail_columns() -> list[Column]:
 
 def _orders_with_province(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    orders = table(spark, sf_dir, "orders")
+    orders = _spread(table(spark, sf_dir, "orders"))
     return orders.join(customers, orders.o_custkey == customers.c_custkey)
 
 
@@ -227,7 +237,7 @@ def order_header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_detail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as topic records: JSON text in ``value``."""
-    return table(spark, sf_dir, "lineitem").select(
+    return _spread(table(spark, sf_dir, "lineitem")).select(
         F.to_json(F.struct(*_detail_columns())).alias("value")
     )
 
@@ -256,7 +266,7 @@ def change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     custkey, nationkey, orderkey = F.col("c_custkey"), F.col("n_nationkey"), F.col("o_orderkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    lines = table(spark, sf_dir, "lineitem")
+    lines = _spread(table(spark, sf_dir, "lineitem"))
     orders = _orders_with_province(spark, sf_dir)
 
     loaded = [
