@@ -1,0 +1,83 @@
+import pytest
+from pyspark.sql.types import LongType, StringType
+
+from tidemark.schemas import record
+from tidemark.sinks.keyed_table import KeyedTable
+from tidemark.sources import tables as tb
+
+SCHEMA = record(day=StringType(), id=StringType(), v=LongType())
+
+
+@pytest.fixture
+def table(tmp_path):
+    return KeyedTable(str(tmp_path / "t"), SCHEMA, ["id"], "day", order=["seq"])
+
+
+def rows(spark, *data):
+    return spark.createDataFrame(data, "day string, id string, v long, seq long")
+
+
+def content(frame):
+    return {(r.day, r.id): r.v for r in frame.collect()}
+
+
+def test_missing_table_and_day_are_empty(spark, table):
+    assert table.read(spark, "2024-01-01").collect() == []
+    assert table.read(spark).schema == SCHEMA
+    table.upsert(rows(spark, ("2024-01-01", "a", 1, 0)), 0)
+    assert table.read(spark, "2024-01-02").collect() == []
+    assert table.read(spark, "2024-01-01").schema == SCHEMA
+
+
+def test_later_batches_and_later_rows_win(spark, table):
+    table.upsert(rows(spark, ("d1", "a", 1, 5), ("d1", "a", 2, 9), ("d1", "b", 3, 0), ("d2", "a", 4, 0)), 0)
+    table.upsert(rows(spark, ("d1", "a", 5, 1)), 1)
+    assert content(table.read(spark)) == {("d1", "a"): 5, ("d1", "b"): 3, ("d2", "a"): 4}
+    assert content(table.read(spark, "d1")) == {("d1", "a"): 5, ("d1", "b"): 3}
+
+
+def test_repeated_batch_changes_nothing(spark, table):
+    for _ in range(2):
+        table.upsert(rows(spark, ("d1", "a", 1, 0)), 0)
+    table.upsert(rows(spark, ("d1", "a", 2, 0)), 1)
+    table.upsert(rows(spark, ("d1", "a", 1, 0)), 0)
+    assert content(table.read(spark, "d1")) == {("d1", "a"): 2}
+
+
+def test_only_limits_the_keys(spark, table):
+    table.upsert(rows(spark, ("d1", "a", 1, 0), ("d1", "b", 2, 0)), 0)
+    only = spark.createDataFrame([("b",), ("b",), ("q",)], "id string")
+    assert content(table.read(spark, "d1", only)) == {("d1", "b"): 2}
+
+
+def test_compaction_keeps_the_content(spark, table):
+    for n in range(5):
+        table.upsert(rows(spark, ("d1", "a", n, 0), ("d1", f"k{n}", n, 0), ("d2", "z", n, 0)), n)
+        if n in (1, 3):
+            before = content(table.read(spark, "d1"))
+            table.compact(spark, "d1", n)
+            table.compact(spark, "d1", n)
+            assert content(table.read(spark, "d1")) == before
+    want = {("d1", "a"): 4, **{("d1", f"k{n}"): n for n in range(5)}}
+    assert content(table.read(spark, "d1")) == want
+    assert content(table.read(spark)) == {**want, ("d2", "z"): 4}
+    plan = table.read(spark, "d1").inputFiles()
+    assert any("batch_id=3" in f and "kind=snapshot" in f for f in plan)
+
+
+def test_snapshot_replaces_the_batches_it_covers(spark, table):
+    for n in range(3):
+        table.upsert(rows(spark, ("d1", "a", n, 0)), n)
+    table.compact(spark, "d1", 1)
+    plan = table.read(spark, "d1")._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "kind" in filters and "batch_id" in filters
+
+
+def test_read_index_over_days(spark, tmp_path):
+    index = tb.order_index(str(tmp_path))
+    assert tb.read_index(spark, index, "2024-01-01", "2024-01-02").count() == 0
+
+
+def test_fact_tables_may_be_missing(spark, tmp_path):
+    assert tb.read_fact_tables(spark, str(tmp_path / "none")).count() == 0
