@@ -57,8 +57,9 @@ headers AS (
 
 LINE = """
 lines AS (
-  SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15)
-              AS BIGINT) AS id,
+  SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                                           CAST(l_quantity AS BIGINT), strftime(l_shipdate, '%Y-%m-%d'))),
+                             1, 15) AS BIGINT) AS id,
          l_orderkey AS order_id, l_partkey AS sku_id, l_extendedprice AS order_price,
          CAST(l_quantity AS BIGINT) AS sku_num, 'sku ' || l_partkey AS sku_name,
          strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS create_time,

@@ -198,13 +198,14 @@ def _order_columns(province: Column | None) -> list[Column]:
 
 
 def _detail_id() -> Column:
-    """A number for a line from the four columns that tell lines apart.
+    """A number for a line from the columns that tell lines apart.
 
     Line numbers repeat within an order. Counting them off would sort each order's lines in one
     task; a digest of the distinguishing columns needs no shuffle.
     """
-    parts = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    digest = F.md5(F.concat_ws("|", *[_text(F.col(c)) for c in parts]))
+    keys = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    rest = [F.col("l_quantity").cast("bigint"), F.date_format("l_shipdate", "yyyy-MM-dd")]
+    digest = F.md5(F.concat_ws("|", *[_text(c) for c in keys + rest]))
     return F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("bigint")
 
 
