@@ -247,7 +247,8 @@ def order_detail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_tables(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("order_info",), ("order_detail",)], "table_name string")
+    # An inline table has a known size, which rows sent from Python do not.
+    return spark.sql("SELECT * FROM VALUES ('order_info'), ('order_detail') AS t (table_name)")
 
 
 def _change(change_type: Column, table_name: str, data: list[Column], seq: Column) -> list[Column]:
