@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from tidemark.operators.documents import patch_docs
 from tidemark.schemas import record
 from tidemark.sinks.keyed_table import KeyedTable
 from tidemark.sources import tables as tb
@@ -81,3 +83,11 @@ def test_read_index_over_days(spark, tmp_path):
 
 def test_fact_tables_may_be_missing(spark, tmp_path):
     assert tb.read_fact_tables(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_patched_documents_written_back(spark, table):
+    table.upsert(rows(spark, ("d1", "a", 1, 0), ("d1", "b", 2, 0)), 0)
+    patches = spark.createDataFrame([("a", "v", "7")], "id string, field string, new_value string")
+    patched = patch_docs(table.read(spark, "d1", patches), patches, "id")
+    table.upsert(patched.withColumn("seq", F.lit(0)), 1)
+    assert content(table.read(spark, "d1")) == {("d1", "a"): 7, ("d1", "b"): 2}

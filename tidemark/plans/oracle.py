@@ -131,8 +131,7 @@ every AS (
   SELECT event_type, k, how, is_error, has_page, NULL AS reason FROM good
   UNION ALL SELECT event_type, k, how, is_error, has_page, reason FROM judged)"""
 
-# Lines that keep their page, start and so on when damaged; the added null page or start comes first
-# in the line and is the one that is read.
+# Damage takes away the part it hits and, for `line`, `ts`, `common` and `err`, all parts.
 LOG["log_routes"] = _with(EVENT, _DAMAGE, _GOOD) + """
 , flat AS (
   SELECT 'DWD_ERROR_LOG' AS topic, 1 AS n FROM every WHERE is_error AND how NOT IN (1, 2, 4)

@@ -9,7 +9,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas as s
@@ -222,7 +222,7 @@ def order_waiting_lines(spark, sf_dir):
 # -- stored documents -----------------------------------------------------------------------------
 
 
-def _mid(key: str):
+def _mid(key: str) -> Column:
     return F.concat(F.lit("mid_"), F.col(key).cast("string")).alias("mid")
 
 
@@ -231,8 +231,11 @@ def docs_patched(spark, sf_dir):
     a new duration for every fifth."""
     customers = star.table(_utc(spark), sf_dir, "customer")
     key = F.col("c_custkey")
-    patch = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("new_value"))
     none = F.lit(None).cast("string")
+
+    def patch(field: str, value) -> Column:
+        return F.struct(F.lit(field).alias("field"), value.alias("new_value"))
+
     patches = customers.select(
         _mid("c_custkey"),
         F.inline(
@@ -274,6 +277,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return os.path.join(shared, f"tidemark-{uuid.uuid4().hex}")
 
 
+def _session(spark: SparkSession) -> SparkSession:
+    """State is spread over the cluster's cores."""
+    return jobs.streaming_session(_utc(spark), spark.sparkContext.defaultParallelism)
+
+
 def _run(query) -> None:
     """Waits for a bounded run, and raises what the query raised."""
     query.awaitTermination()
@@ -308,7 +316,7 @@ def _fill_dims(spark, sf_dir, root: str) -> None:
 
 def dau_stream(spark, sf_dir):
     """Log split and DAU jobs, stopped and resumed half-way; every event is processed on its day."""
-    session = jobs.streaming_session(_utc(spark))
+    session = _session(spark)
     root = scratch_folder(spark)
     topics = FileTopics(f"{root}/topics")
     dims, index = tb.dim_store(root), tb.dau_index(root)
@@ -329,7 +337,7 @@ def dau_stream(spark, sf_dir):
 def order_wide_stream(spark, sf_dir):
     """Enrichment and join jobs; headers and lines come in opposite halves, so that most pairs meet
     across batches, in both orders."""
-    session = jobs.streaming_session(_utc(spark))
+    session = _session(spark)
     root = scratch_folder(spark)
     topics = FileTopics(f"{root}/topics")
     dims, index = tb.dim_store(root), tb.order_index(root)
@@ -354,7 +362,7 @@ def order_wide_stream(spark, sf_dir):
 
 def dim_stream(spark, sf_dir):
     """The change router job, a row's changes coming in separate files; the store read back."""
-    session = jobs.streaming_session(_utc(spark))
+    session = _session(spark)
     root = scratch_folder(spark)
     topics = FileTopics(f"{root}/topics")
     dims = tb.dim_store(root)

@@ -80,19 +80,27 @@ def _log_parts(events: DataFrame) -> DataFrame:
         F.when(_mod(k, 4) != 0, F.concat(F.lit("src_"), _text(_mod(k, 4)))).alias("source_type"),
     )
     err = F.struct(k.alias("error_code"), F.concat(F.lit("event "), _text(e)).alias("msg"))
-    action = lambda i: F.struct(
-        F.concat(F.lit("act_"), _text(i)).alias("action_id"),
-        (e + i).alias("item"),
-        F.lit("sku_id").alias("item_type"),
-    )
-    display = lambda i: F.struct(
-        F.when(_mod(i, 2) == 0, "promotion").otherwise("query").alias("display_type"),
-        (e * 10 + i).alias("item"),
-        F.lit("sku_id").alias("item_type"),
-        i.alias("order"),
-        _text(_mod(k + i, 5)).alias("pos_id"),
-    )
-    first = lambda n, size: F.slice(F.array(*[F.lit(i + 1) for i in range(n)]), 1, size)
+
+    def action(i: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit("act_"), _text(i)).alias("action_id"),
+            (e + i).alias("item"),
+            F.lit("sku_id").alias("item_type"),
+        )
+
+    def display(i: Column) -> Column:
+        return F.struct(
+            F.when(_mod(i, 2) == 0, "promotion").otherwise("query").alias("display_type"),
+            (e * 10 + i).alias("item"),
+            F.lit("sku_id").alias("item_type"),
+            i.alias("order"),
+            _text(_mod(k + i, 5)).alias("pos_id"),
+        )
+
+    def first(n: int, size: Column) -> Column:
+        """1 to ``size``, which is at most ``n``; a sequence could not be empty."""
+        return F.slice(F.array(*[F.lit(i + 1) for i in range(n)]), 1, size)
+
     has_page = kind.isin("error", "view", "click", "purchase") | (
         (kind == "signup") & (_mod(k, 2) == 0)
     )
@@ -120,24 +128,26 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def damaged_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of which most are broken in one of several ways, by ``event_id``."""
-    lines = _log_parts(_spread(table(spark, sf_dir, "events"))).select(
-        "event_id",
-        F.to_json(F.struct(*LOG_MEMBERS)).alias("good"),
-        F.to_json(F.struct(*[c for c in LOG_MEMBERS if c != "ts"])).alias("no_ts"),
-        F.to_json(F.struct(*[c for c in LOG_MEMBERS if c != "common"])).alias("no_common"),
-    )
-    e = F.col("event_id")
-    with_member = lambda text: F.concat(F.lit("{" + text + ","), F.substr("good", F.lit(2)))
+    how = _mod(F.col("event_id"), 9)
+    lines = _log_parts(_spread(table(spark, sf_dir, "events")))
+
+    def line(without: str = "") -> Column:
+        return F.to_json(F.struct(*[c for c in LOG_MEMBERS if c != without]))
+
+    def line_with(member: str, text: str) -> Column:
+        """The line with its ``member``, if it has one, replaced by the given JSON text."""
+        return F.concat(F.lit(f'{{"{member}":{text},'), F.substr(line(member), F.lit(2)))
+
     value = (
-        F.when(_mod(e, 9) == 1, F.concat(F.lit("#"), F.col("good")))
-        .when(_mod(e, 9) == 2, F.col("no_ts"))
-        .when(_mod(e, 9) == 3, F.col("no_common"))
-        .when(_mod(e, 9) == 4, with_member('"err":null'))
-        .when(_mod(e, 9) == 5, with_member('"start":null'))
-        .when(_mod(e, 9) == 6, with_member('"page":7'))
-        .when(_mod(e, 9) == 7, with_member('"actions":{}'))
-        .when(_mod(e, 9) == 8, with_member('"displays":[{"order":1},null]'))
-        .otherwise(F.col("good"))
+        F.when(how == 1, F.concat(F.lit("#"), line()))
+        .when(how == 2, line("ts"))
+        .when(how == 3, line("common"))
+        .when(how == 4, line_with("err", "null"))
+        .when(how == 5, line_with("start", "null"))
+        .when(how == 6, line_with("page", "7"))
+        .when(how == 7, line_with("actions", "{}"))
+        .when(how == 8, line_with("displays", '[{"order":1},null]'))
+        .otherwise(line())
     )
     return lines.select("event_id", value.alias("value"))
 
