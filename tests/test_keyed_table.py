@@ -64,10 +64,10 @@ def test_compaction_keeps_the_content(spark, table):
     assert content(table.read(spark, "d1")) == want
     assert content(table.read(spark)) == {**want, ("d2", "z"): 4}
     plan = table.read(spark, "d1").inputFiles()
-    assert any("batch_id=3" in f and "kind=snapshot" in f for f in plan)
+    assert any("batch_id=3" in f and "kind=base" in f for f in plan)
 
 
-def test_snapshot_replaces_the_batches_it_covers(spark, table):
+def test_a_base_replaces_the_batches_it_covers(spark, table):
     for n in range(3):
         table.upsert(rows(spark, ("d1", "a", n, 0)), n)
     table.compact(spark, "d1", 1)
@@ -85,9 +85,19 @@ def test_fact_tables_may_be_missing(spark, tmp_path):
     assert tb.read_fact_tables(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_patched_documents_written_back(spark, table):
-    table.upsert(rows(spark, ("d1", "a", 1, 0), ("d1", "b", 2, 0)), 0)
+def test_edits_apply_after_their_batch(spark, table):
+    table.upsert(rows(spark, ("d1", "a", 1, 0), ("d1", "b", 2, 0), ("d1", "c", 3, 0)), 0)
     patches = spark.createDataFrame([("a", "v", "7")], "id string, field string, new_value string")
-    patched = patch_docs(table.read(spark, "d1", patches), patches, "id")
-    table.upsert(patched.withColumn("seq", F.lit(0)), 1)
-    assert content(table.read(spark, "d1")) == {("d1", "a"): 7, ("d1", "b"): 2}
+    table.edit(patch_docs(table.read(spark, "d1", patches), patches, "id"), 0, 0)
+    assert content(table.read(spark, "d1")) == {("d1", "a"): 7, ("d1", "b"): 2, ("d1", "c"): 3}
+    table.upsert(rows(spark, ("d1", "b", 5, 0)), 1)
+    table.remove(rows(spark, ("d1", "b", 0, 0), ("d1", "q", 0, 0)), 1, 0)
+    want = {("d1", "a"): 7, ("d1", "c"): 3}
+    assert content(table.read(spark, "d1")) == content(table.read(spark)) == want
+    table.compact(spark, "d1", 1)
+    assert content(table.read(spark, "d1")) == content(table.read(spark)) == want
+    table.edit(rows(spark, ("d1", "c", 9, 0)).drop("seq"), 1, 1)  # after the base was made
+    assert content(table.read(spark, "d1")) == content(table.read(spark)) == {("d1", "a"): 7, ("d1", "c"): 9}
+    table.upsert(rows(spark, ("d1", "b", 6, 0), ("d1", "c", 4, 0)), 2)
+    table.compact(spark, "d1", 2)
+    assert content(table.read(spark, "d1")) == {("d1", "a"): 7, ("d1", "b"): 6, ("d1", "c"): 4}

@@ -9,6 +9,7 @@ instead of by arrival times. It needs the RocksDB state store; see
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from tidemark.operators.orders import merge_order_wide, packed_header, packed_li
 from tidemark.schemas import ORDER_DETAIL, ORDER_INFO_ENRICHED, ORDER_WAIT_HOURS
 
 PAIR = "header string, line string"
+RELEASED_AT_ONCE = 10_000
 
 
 class _Rendezvous(StatefulProcessor):
@@ -45,8 +47,9 @@ class _Rendezvous(StatefulProcessor):
             elif len(lines):
                 yield pd.DataFrame({"header": header, "line": lines})
         if header is not None and self.parked.exists():
-            for (line,) in self.parked.get():
-                yield pd.DataFrame({"header": [header], "line": [line]})
+            waiting = (line for (line,) in self.parked.get())
+            while some := list(islice(waiting, RELEASED_AT_ONCE)):
+                yield pd.DataFrame({"header": header, "line": some})
             self.parked.clear()
 
     def close(self) -> None:
