@@ -1,4 +1,5 @@
-"""Times the headline queries, and plain Spark SQL for four of them over the same inputs.
+"""Times the headline queries and, with ``BENCH_PLAIN=1``, plain Spark SQL for four of them over the
+same inputs.
 
 Prints one JSON line. ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the cores, ``BENCH_RUNS`` the
 runs per query, of which the best counts. Results go to Spark's ``noop`` sink, which computes every
@@ -126,10 +127,11 @@ def main() -> None:
     for name in HEADLINE:
         timings[name] = seconds(lambda: QUERIES[name](spark, sf_dir), runs)
         print(name, timings[name], file=sys.stderr, flush=True)
-    plain_views(spark, sf_dir)
-    for name, sql in PLAIN_SQL.items():
-        plain[name] = seconds(lambda: spark.sql(sql), runs)
-        print("plain", name, plain[name], file=sys.stderr, flush=True)
+    if os.environ.get("BENCH_PLAIN") == "1":
+        plain_views(spark, sf_dir)
+        for name, sql in PLAIN_SQL.items():
+            plain[name] = seconds(lambda: spark.sql(sql), runs)
+            print("plain", name, plain[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {
