@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.quality import op4_quality_rules
 from tidemark.llm.secrets import op5_secret_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scans": op5_secret_scans,
 }
