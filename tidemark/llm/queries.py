@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.html_text import op8_html_extraction
 from tidemark.llm.packing import op2_best_fit_packing
+from tidemark.llm.passages import op10_substring_dedup
 from tidemark.llm.quality import op4_quality_rules
 from tidemark.llm.secrets import op5_secret_scans
 from tidemark.llm.urls import OP3_SQL, op3_url_filters
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scans": op5_secret_scans,
     "op8_html_extraction": op8_html_extraction,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE: dict[str, str] = {"op3_url_filters": OP3_SQL}
