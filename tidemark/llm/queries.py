@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.html_text import op8_html_extraction
+from tidemark.llm.near import op6_near_dedup
 from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.passages import op10_substring_dedup
 from tidemark.llm.quality import op4_quality_rules
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scans": op5_secret_scans,
+    "op6_near_dedup": op6_near_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }
