@@ -10,6 +10,7 @@ from tidemark.llm.html_text import op8_html_extraction
 from tidemark.llm.near import op6_near_dedup
 from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.passages import op10_substring_dedup
+from tidemark.llm.pieces import op7_sentencepiece
 from tidemark.llm.quality import op4_quality_rules
 from tidemark.llm.secrets import op5_secret_scans
 from tidemark.llm.urls import OP3_SQL, op3_url_filters
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scans": op5_secret_scans,
     "op6_near_dedup": op6_near_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_html_extraction": op8_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }
