@@ -12,15 +12,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
 from functools import partial
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import per_text, slices, small_batches
+from tidemark.llm.shared import per_text
+from tidemark.llm.words import count_words, most_frequent
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -108,35 +106,17 @@ def spans_of(texts: list[str | None], ranks: dict[str, int], least: float) -> li
     return out
 
 
-def _letters(b: pa.RecordBatch) -> list[bytes]:
-    table = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-    return [t.encode("utf-8", "surrogatepass").translate(table) for t in b.column(0).to_pylist() if t]
+_LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def dictionary(docs: DataFrame, text: str = "text", most: int = WORDS) -> dict[str, int]:
-    """Ranks from 1 of the most frequent words of all texts; a word is 3 to LONGEST_WORD bytes of letters, in lower case.
-
-    Each task adds up its own words before the shuffle; only the first most words reach the driver.
-    """
+def _letter_words(text: str) -> list[bytes]:
+    return [w for w in text.encode("utf-8", "surrogatepass").translate(_LETTERS).split() if 3 <= len(w) <= LONGEST_WORD]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            words = {w.decode("utf-8", "replace"): n for w, n in seen.items() if 3 <= len(w) <= LONGEST_WORD}
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-
-        for b in slices(batches, 0):
-            for t in _letters(b):
-                seen.update(t.split())
-            if len(seen) > 300_000:
-                yield flush()
-        yield flush()
-
-    words = small_batches(docs.select(F.col(text).cast("string"))).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(most).select("word").collect()
-    return {r["word"]: i for i, r in enumerate(top, 1)}
+def dictionary(docs: DataFrame, text: str = "text", most: int = WORDS) -> dict[str, int]:
+    """Ranks from 1 of the most frequent words of all texts; a word is 3 to LONGEST_WORD bytes of letters, in lower case."""
+    words = count_words(docs.select(F.col(text).cast("string")), _letter_words)
+    return {w.decode("utf-8", "replace"): i for i, (w, _) in enumerate(most_frequent(words, most), 1)}
 
 
 def find_secrets(docs: DataFrame, text: str = "text", least_cost: float = LEAST_COST, ranks: dict[str, int] | None = None, out: str = "secrets") -> DataFrame:
