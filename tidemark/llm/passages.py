@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidemark.llm.shared import per_text, slices, small_batches
+from tidemark.llm.shared import per_text, slices, small_batches, written
 
 LEAST_WORDS = 25
 #: A unit: a sentence that ends with . ! or ? before white space, or what is left of its line.
@@ -72,6 +72,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     length = F.col("end") - F.col("start")
     # a digest is told apart by its unit's words as well
     first = found.groupBy("digest", "words").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "first-places")  # else its aggregation shares a stage with the join, and a common unit can't be split
     again = found.join(first, ["digest", "words"]).where(~place.eqNullSafe(F.col("kept")) & (length > 0))
     # equal rows give equal units
     again = again.select("id", "key", "at", "start", "end", "words", "kept").distinct()
