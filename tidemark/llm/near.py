@@ -1,13 +1,12 @@
 """Near-duplicates by order MinHash.
 
 A text's k-mers are its runs of five words, each labelled with its occurrence number in the text. Each of many hash
-functions samples the two labelled k-mers of least hash and keeps them in the order of the text, so that texts match
-where they agree in content and order, as edit distance has it. Two such samples make a band; texts that share a band
-are candidates. A candidate pair is linked if a banded alignment of the two sequences of k-mers matches at least
+functions samples several labelled k-mers of least hash and keeps them in the order of the text, so that texts match
+where they agree in content and order, as edit distance has it. Texts that share a sample are in a bucket. A candidate pair is linked if a banded alignment of the two sequences of k-mers matches at least
 SIMILARITY of them: matched / (all of both - matched).
 
 Equal texts are one node from the start; the others' links are found without all pairs of a bucket: in rounds, a few
-leaders of each bucket, those first that share most, are aligned with the bucket's members outside their class, until
+leaders of each bucket, those first that share most, are aligned with the bucket's other classes' members, until
 all but the largest class of a bucket have been leaders. A class is a connected component of the links, so nothing that
 could join two classes is left out.
 
@@ -31,10 +30,12 @@ from tidemark.llm.shared import slices, small_batches, written
 
 K = 5
 SIMILARITY = 0.8
-#: A pair of similarity 0.8 shares a band with a probability of about 0.4 each; it is missed by all in 1 of 10^5 cases.
-BANDS, ROWS = 24, 2
-_M = np.random.default_rng(20).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
-_ODD, _ADD = _M[0] | np.uint64(1), _M[1]
+#: (k-mers in a text from, sampled k-mers, samples): by the text's length, so that a pair of similarity 0.8 shares all of
+#: a sample in one of ten cases or more, and misses all samples in about one of 10^4 or fewer, and texts that merely
+#: share a passage meet seldom. Texts near a limit take part on both sides of it.
+TIERS = ((1, 3, 20), (16, 6, 40), (64, 10, 96))
+_SEEDS = np.random.default_rng(20).integers(0, 2**32, (2, 96), np.uint32)
+_ODD, _ADD = _SEEDS[0] | np.uint32(1), _SEEDS[1]
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Hash values held at a time for one text.
 _AT_ONCE = 2_000_000
@@ -72,24 +73,49 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_of(hashes: np.ndarray) -> np.ndarray:
-    """BANDS signed 64-bit values of the labelled k-mers of a text that has any."""
-    n, m = len(hashes), len(_ODD)
-    first, second = np.empty(m, np.int64), np.empty(m, np.int64)
+def tiers_of(n: int) -> list[int]:
+    """Tiers that a text of n k-mers takes part in: its own, and those of the lengths that 0.8 leaves in reach."""
+    edges = [t[0] for t in TIERS[1:]] + [n * 2 + 2]
+    return [i for i, (low, high) in enumerate(zip([1, *edges], edges, strict=False)) if low * SIMILARITY <= n < high / SIMILARITY]
+
+
+def samples_of(hashes: np.ndarray, count: int, samples: int) -> np.ndarray:
+    """One 64-bit value for each sample: the count k-mers of least hash, in the order of the text."""
+    n = len(hashes)
+    count = min(count, n)
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.empty(samples, np.uint64)
+    # nearly always this many of the smallest hold the count that is sought
+    share = (count + 6 * count**0.5 + 8) / n
     step = max(1, _AT_ONCE // n)
-    for a in range(0, m, step):
-        v = hashes[None, :] * _ODD[a : a + step, None] + _ADD[a : a + step, None]
-        v ^= v >> np.uint64(32)
-        rows = np.arange(len(v))
-        i = v.argmin(1)
-        v[rows, i] = np.uint64(2**64 - 1)
-        j = v.argmin(1) if n > 1 else i
-        first[a : a + step], second[a : a + step] = np.minimum(i, j), np.maximum(i, j)
-    sample = _mix(_mix(hashes[first] * _G1 + np.uint64(1)) + hashes[second])
-    out = np.arange(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
-        out = _mix(out * _G1 + sample[r::ROWS])
-    return out.view(np.int64)
+    for a in range(0, samples, step):
+        v = low[None, :] * _ODD[a : min(a + step, samples), None] + _ADD[a : min(a + step, samples), None]
+        v ^= v >> np.uint32(15)
+        v *= np.uint32(0x2C1B3C6D)
+        v ^= v >> np.uint32(13)
+        rows, places = np.nonzero(v < np.uint32(share * 2**32)) if share < 0.5 else (np.repeat(np.arange(len(v)), n), np.tile(np.arange(n), len(v)))
+        sizes = np.bincount(rows, minlength=len(v))
+        if sizes.min() < count:
+            rows, places = np.repeat(np.arange(len(v)), n), np.tile(np.arange(n), len(v))
+            sizes = np.full(len(v), n)
+        order = np.lexsort((places, v[rows, places], rows))
+        starts = np.cumsum(sizes) - sizes
+        chosen = np.sort(places[order[starts[:, None] + np.arange(count)]], axis=1)
+        got = hashes[chosen]
+        x = np.full(len(v), np.uint64(count))
+        for j in range(count):
+            x = _mix(x * _G1 + got[:, j])
+        out[a : a + step] = x
+    return out
+
+
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    """Signed 64-bit buckets of the labelled k-mers of a text that has any; tier and sample are hashed in."""
+    out = []
+    for i in tiers_of(len(hashes)):
+        _, count, samples = TIERS[i]
+        out.append(_mix(samples_of(hashes, count, samples) * _G1 + np.arange(samples, dtype=np.uint64) + np.uint64(1000 * i)))
+    return np.concatenate(out).view(np.int64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -137,7 +163,7 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (node, bands), one for each different text that has words."""
+    """Rows (node, size, buckets), one for each different text that has words; size: its k-mers."""
     src = small_batches(docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(text).cast("string").alias("text")))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +172,14 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
             found = {}
             for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if node not in found and (words := _split(t)):
-                    found[node] = bands_of(labelled(kmers(words, known))).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "bands"])
+                    k = labelled(kmers(words, known))
+                    found[node] = len(k), buckets_of(k)
+            sizes, buckets = [x for x, _ in found.values()], [x for _, x in found.values()]
+            flat = pa.array(np.concatenate(buckets) if buckets else np.empty(0, np.int64))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in buckets])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["node", "size", "buckets"])
 
-    rows = src.mapInArrow(sketch, "node bigint, bands array<bigint>")
-    return rows.groupBy("node").agg(F.first("bands").alias("bands"))
+    return src.mapInArrow(sketch, "node bigint, size bigint, buckets array<bigint>").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -177,36 +206,40 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def link_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """Rows (node, label) of the different texts that are linked to another; label is the class's least node."""
     spark = docs.sparkSession
-    sig = written(signatures(docs, text), "signatures")
-    rows = sig.select("node", F.posexplode("bands").alias("band", "bucket"))
-    sizes = rows.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(rows.join(sizes, ["band", "bucket"]), "members")
+    rows = written(signatures(docs, text), "signatures").select("node", "size", F.explode("buckets").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    members = written(rows.join(written(shared, "buckets"), "bucket"), "members")
     # those that share most come first: a text the others were made from shares more with each than they among themselves
-    rank = members.groupBy("node").agg(F.sum("size").alias("rank"))
-    members = written(members.select("band", "bucket", "node").join(rank, "node"), "ranked")
+    rank = members.groupBy("node").agg(F.sum("members").alias("rank"))
+    members = written(members.select("bucket", "node", "size").join(rank, "node"), "ranked")
     src = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(text).cast("string").alias("text"))
     texts = written(src.join(rank.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     labels = spark.createDataFrame([], "node bigint, label bigint")
-    led = spark.createDataFrame([], "band int, bucket bigint, node bigint")
-    for turn in range(64):
+    led = spark.createDataFrame([], "bucket bigint, node bigint")
+    linear, turn = 2 * members.count(), 0
+    while True:
         now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         # of each bucket with several classes, all members but those of the largest have to lead once
-        counts = now.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
-        largest = counts.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("classes"))
-        live = written(now.join(largest.where("classes > 1"), ["band", "bucket"]), "live")
+        counts = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        largest = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("classes"), F.sum("n").alias("members"))
+        live = written(now.join(written(largest.where("classes > 1"), "open"), "bucket"), "live")
         # at first no class is largest, and the best ranked member leads
-        due = live if turn == 0 else live.where("label <> largest").join(led, ["band", "bucket", "node"], "left_anti")
-        order = W.partitionBy("band", "bucket").orderBy(F.desc("rank"), "node")
-        leaders = written(due.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 1 << turn).select("band", "bucket", F.col("node").alias("leader"), F.col("label").alias("leader_label")), "leaders")
+        due = live if turn == 0 else live.where("label <> largest").join(led, ["bucket", "node"], "left_anti")
+        order = W.partitionBy("bucket").orderBy(F.desc("rank"), "node")
+        some = due.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 4**turn)
+        if turn and (due.agg(F.sum("members")).first()[0] or 0) <= linear:
+            some = due  # no more alignments than there are members: all may lead at once
+        leaders = written(some.select("bucket", F.col("node").alias("leader"), F.col("label").alias("leader_label"), F.col("size").alias("leader_size")), "leaders")
         if leaders.isEmpty():
-            break
-        pairs = live.join(leaders, ["band", "bucket"]).where("label <> leader_label").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+            return labels
+        # sizes too far apart can't reach the similarity
+        near = (F.col("label") != F.col("leader_label")) & (F.least("size", "leader_size") >= least * F.greatest("size", "leader_size"))
+        pairs = live.join(leaders, (live["bucket"] == leaders["bucket"]) & near).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         links = written(verify(pairs, texts, least), "verified")
-        led = led.union(leaders.select("band", "bucket", F.col("leader").alias("node")))
-        labels = _joined(labels, links)
-    else:
-        raise RuntimeError("buckets stayed open")
-    return labels
+        led = led.union(leaders.select("bucket", F.col("leader").alias("node")))
+        if not links.isEmpty():
+            labels = _joined(labels, links)
+        turn += 1
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:

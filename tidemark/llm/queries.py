@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.ann import op9_nearest_neighbours
 from tidemark.llm.html_text import op8_html_extraction
 from tidemark.llm.near import op6_near_dedup
 from tidemark.llm.packing import op2_best_fit_packing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dedup": op6_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_html_extraction": op8_html_extraction,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE: dict[str, str] = {"op3_url_filters": OP3_SQL}
