@@ -2,13 +2,16 @@
 
 A text's k-mers are its runs of five words, each labelled with its occurrence number in the text. Each of many hash
 functions samples several labelled k-mers of least hash and keeps them in the order of the text, so that texts match
-where they agree in content and order, as edit distance has it. Texts that share a sample are in a bucket. A candidate pair is linked if a banded alignment of the two sequences of k-mers matches at least
-SIMILARITY of them: matched / (all of both - matched).
+where they agree in content and order, as edit distance has it. Texts that share a sample are in a bucket. Two
+texts are linked if a banded alignment of their words matches at least SIMILARITY of them: matched / (all of both -
+matched). That holds for all that share so much of their k-mers in order, and those meet in a bucket nearly surely; of
+texts that are linked by their words only, those that meet.
 
-Equal texts are one node from the start; the others' links are found without all pairs of a bucket: in rounds, a few
-leaders of each bucket, those first that share most, are aligned with the bucket's other classes' members, until
-all but the largest class of a bucket have been leaders. A class is a connected component of the links, so nothing that
-could join two classes is left out.
+Equal texts are one node from the start. The others' links are found without all pairs of a bucket: its best leader,
+the text that shares most, is aligned with all, then a few more leaders with the members outside their class, and in
+small buckets all that the first left over. A bucket of one class is done: a class is a connected component of the
+links. Members of large buckets that are still not of their largest class, as texts are that share a long passage, are
+compared exactly: texts alike must share one of their rarest k-mers, and such pairs are aligned too.
 
 Texts without words are alike only if equal; texts of under five words are one k-mer. Null texts count as empty. Texts
 are told apart by 64-bit hashes. Every row gets a class, repeated rows too, and null ids can't name one unless all are.
@@ -37,6 +40,8 @@ TIERS = ((1, 3, 20), (16, 6, 40), (64, 10, 96))
 _SEEDS = np.random.default_rng(20).integers(0, 2**32, (2, 96), np.uint32)
 _ODD, _ADD = _SEEDS[0] | np.uint32(1), _SEEDS[1]
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Members of a bucket that all lead, if they have to: no member is aligned with more than so many others in it for that.
+EXHAUSTED = 32
 #: Hash values held at a time for one text.
 _AT_ONCE = 2_000_000
 
@@ -48,10 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def kmers(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     """Hashes of the runs of K words, in order; one of all words if there are fewer. known: hashes of words, shared."""
-    if len(known) > 400_000:
-        known.clear()
-    h = xxhash.xxh64_intdigest
-    ids = np.fromiter((known[w] if w in known else known.setdefault(w, h(w)) for w in words), np.uint64, len(words))
+    ids = _numbers(words, known)
     n = max(len(ids) - K + 1, 1 if len(ids) else 0)
     out = np.zeros(n, np.uint64)
     for j in range(min(K, len(ids))):
@@ -119,7 +121,7 @@ def buckets_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Matched share of two sequences in an alignment, exact if it is least or more, else some value below least.
+    """matched / (all of both - matched) of two sequences in an alignment; exact if least or more, else some value below.
 
     An alignment that reaches it leaves at most a known number of places unmatched, and so stays in a band that wide.
     Bits of an integer stand for the places of one sequence, and each step takes in one place of the other.
@@ -158,6 +160,13 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return matched / (n + m - matched)
 
 
+def _numbers(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    if len(known) > 400_000:
+        known.clear()
+    h = xxhash.xxh64_intdigest
+    return np.fromiter((known[w] if w in known else known.setdefault(w, h(w)) for w in words), np.uint64, len(words))
+
+
 def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -195,8 +204,8 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             keep = []
             for i, (a, ta, tb) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 if a != last:
-                    last, held = a, kmers(_split(ta), known)
-                if aligned(held, kmers(_split(tb), known), least) >= least:
+                    last, held = a, _numbers(_split(ta), known)
+                if aligned(held, _numbers(_split(tb), known), least) >= least:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -216,8 +225,8 @@ def link_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
     texts = written(src.join(rank.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     labels = spark.createDataFrame([], "node bigint, label bigint")
     led = spark.createDataFrame([], "bucket bigint, node bigint")
-    linear, turn = 2 * members.count(), 0
-    while True:
+    order = W.partitionBy("bucket").orderBy(F.desc("rank"), "node")
+    for turn in (0, 1, 2):
         now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         # of each bucket with several classes, all members but those of the largest have to lead once
         counts = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
@@ -225,21 +234,50 @@ def link_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
         live = written(now.join(written(largest.where("classes > 1"), "open"), "bucket"), "live")
         # at first no class is largest, and the best ranked member leads
         due = live if turn == 0 else live.where("label <> largest").join(led, ["bucket", "node"], "left_anti")
-        order = W.partitionBy("bucket").orderBy(F.desc("rank"), "node")
-        some = due.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 4**turn)
-        if turn and (due.agg(F.sum("members")).first()[0] or 0) <= linear:
-            some = due  # no more alignments than there are members: all may lead at once
-        leaders = written(some.select("bucket", F.col("node").alias("leader"), F.col("label").alias("leader_label"), F.col("size").alias("leader_size")), "leaders")
-        if leaders.isEmpty():
-            return labels
-        # sizes too far apart can't reach the similarity
-        near = (F.col("label") != F.col("leader_label")) & (F.least("size", "leader_size") >= least * F.greatest("size", "leader_size"))
-        pairs = live.join(leaders, (live["bucket"] == leaders["bucket"]) & near).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        if turn == 2:
+            open_buckets = due.select("bucket").distinct()
+            pairs = rare_pairs(texts.join(live.join(open_buckets, "bucket", "left_semi"), "node", "left_semi"), least)
+            same = [labels.withColumnsRenamed({"node": c, "label": f"l{c}"}) for c in "ab"]
+            pairs = pairs.join(same[0], "a", "left").join(same[1], "b", "left").where("not coalesce(la, a) <=> coalesce(lb, b)").select("a", "b")
+        else:
+            few = F.col("place") <= 4**turn
+            leaders = due.withColumn("place", F.row_number().over(order)).where((F.col("members") <= EXHAUSTED) & F.lit(turn > 0) | few)
+            leaders = written(leaders.select("bucket", F.col("node").alias("leader"), F.col("label").alias("leader_label"), F.col("size").alias("leader_size")), "leaders")
+            # sizes too far apart can't reach the similarity
+            near = (F.col("label") != F.col("leader_label")) & (F.least("size", "leader_size") >= least * F.greatest("size", "leader_size"))
+            pairs = live.join(leaders, (live["bucket"] == leaders["bucket"]) & near).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+            led = led.union(leaders.select("bucket", F.col("leader").alias("node")))
         links = written(verify(pairs, texts, least), "verified")
-        led = led.union(leaders.select("bucket", F.col("leader").alias("node")))
         if not links.isEmpty():
             labels = _joined(labels, links)
-        turn += 1
+    return labels
+
+
+def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of texts (node, text) that may share least of their labelled k-mers.
+
+    Two texts that do have one in common among the rarest of either, of which so many are left as may be without match;
+    what very many texts share is not among the rarest of those that have their own besides.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for b in slices(batches, 1):
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                k = labelled(kmers(_split(t), known)).view(np.int64)
+                n = len(k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node, np.int64)), pa.array(np.full(n, n, np.int64)), pa.array(k)], names=["node", "size", "kmer"])
+
+    rows = small_batches(texts.select("node", "text")).mapInArrow(spread, "node bigint, size bigint, kmer bigint")
+    common = written(rows.groupBy("kmer").agg(F.count("*").alias("texts")).where("texts > 1"), "common")
+    # k-mers of one text only match nothing, and are its rarest: they need no rows but their number
+    shared = rows.join(common, "kmer")
+    rest = W.partitionBy("node").orderBy("texts", "kmer")
+    kept = F.col("size") - F.ceil(F.col("size") * least) + 1 - (F.col("size") - F.count("*").over(W.partitionBy("node")))
+    first = written(shared.withColumn("kept", kept).withColumn("place", F.row_number().over(rest)).where("place <= kept").select("node", "size", "kmer"), "rare")
+    other = first.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("kmer").alias("kmer_b"))
+    near = (F.col("node") < F.col("b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b"))
+    return first.join(other, (F.col("kmer") == F.col("kmer_b")) & near).select(F.col("node").alias("a"), "b").distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.ann import op9_nearest_neighbours
 from tidemark.llm.html_text import op8_html_extraction
+from tidemark.llm.lm import op1_lm_scoring
 from tidemark.llm.near import op6_near_dedup
 from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.passages import op10_substring_dedup
@@ -17,6 +18,7 @@ from tidemark.llm.secrets import op5_secret_scans
 from tidemark.llm.urls import OP3_SQL, op3_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
