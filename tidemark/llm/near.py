@@ -302,5 +302,14 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     return ids.join(known, "node").select("doc_id", "class_id", "class_size")
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row of docs for each class: that of the least id (nulls last), of rows with that id any one of the least text hash."""
+    labels = link_classes(docs, text, least).withColumnsRenamed({"node": "_nd_other", "label": "_nd_label"})
+    rows = docs.withColumn("_nd_node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(labels, rows["_nd_node"] == labels["_nd_other"], "left").withColumn("_nd_label", F.coalesce("_nd_label", "_nd_node"))
+    order = W.partitionBy("_nd_label").orderBy(F.col(doc_id).asc_nulls_last(), "_nd_node")
+    return rows.withColumn("_nd_place", F.row_number().over(order)).where("_nd_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
