@@ -14,7 +14,7 @@ def patches(spark, *rows):
 
 def test_patch_to_null_differs_from_no_patch(spark, stored):
     frame = patches(spark, ("a", "name", None, 1), ("b", "n", "20", 1))
-    assert {tuple(r) for r in docs.patch_docs(stored, frame, "id").collect()} == {
+    assert {tuple(r) for r in docs.patch_docs(stored, frame, "id", ["seq"]).collect()} == {
         ("a", None, 1), ("b", "y", 20), ("c", None, 3)}
 
 
@@ -25,7 +25,7 @@ def test_last_patch_of_a_field_wins(spark, stored):
 
 def test_unknown_documents_fields_and_the_key_stay(spark, stored):
     frame = patches(spark, ("zz", "name", "v", 1), ("a", "nope", "v", 1), ("a", "id", "q", 1))
-    assert docs.patch_docs(stored, frame, "id").exceptAll(stored).count() == 0
+    assert docs.patch_docs(stored, frame, "id", ["seq"]).exceptAll(stored).count() == 0
 
 
 def test_delete_and_fetch(spark, stored):

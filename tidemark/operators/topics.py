@@ -22,6 +22,16 @@ def bind_topic(messages: DataFrame, schema: StructType) -> DataFrame:
     return bound.select(*others, *typed_members(F.col("_members"), schema))
 
 
+def rejected_messages(messages: DataFrame, schema: StructType, key: str, topic: str) -> DataFrame:
+    """Messages whose ``key`` (and ``ts``, if the record has one) can't be read, as rows of ``topic``."""
+    needed = [key, *(["ts"] if "ts" in schema.fieldNames() else [])]
+    bound = bind_topic(messages.select("value", F.col("value").alias("_raw")), schema)
+    missing = F.lit(False)
+    for name in needed:
+        missing = missing | F.col(name).isNull()
+    return bound.where(missing).select(F.lit(topic).alias("topic"), F.col("_raw").alias("value"))
+
+
 def copy_by_name(df: DataFrame, schema: StructType) -> DataFrame:
     """The columns of ``df`` that ``schema`` also has, in the schema's order and types."""
     return df.select(

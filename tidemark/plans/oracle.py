@@ -7,6 +7,7 @@ semantics are stated a second time, on the typed columns.
 from __future__ import annotations
 
 AS_OF = "2023-02-28"
+REPORT_DAY, YESTERDAY = "2024-01-15", "2024-01-19"
 
 # ---- inputs -------------------------------------------------------------------------------------
 
@@ -57,9 +58,9 @@ headers AS (
 
 LINE = """
 lines AS (
-  SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  SELECT (l_orderkey << 28) + CAST('0x' || substr(md5(concat_ws('|', l_linenumber, l_partkey, l_suppkey,
                                            CAST(l_quantity AS BIGINT), strftime(l_shipdate, '%Y-%m-%d'))),
-                             1, 15) AS BIGINT) AS id,
+                             1, 7) AS BIGINT) AS id,
          l_orderkey AS order_id, l_partkey AS sku_id, l_extendedprice AS order_price,
          CAST(l_quantity AS BIGINT) AS sku_num, 'sku ' || l_partkey AS sku_name,
          strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS create_time,
@@ -198,20 +199,25 @@ _DAU = (*_ACTIVE, USER, PROVINCE, _ENRICHED)
 _DOCS = (*_DAU, _INDEX)
 _URGENT = "(SELECT 'mid_' || o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"
 
+_REPORT = f"""
+SELECT 'dauTotal' AS part, CAST(NULL AS VARCHAR) AS hr, count(*) AS cnt FROM enriched WHERE dt = '{REPORT_DAY}'
+UNION ALL SELECT 'dauTd', hr, count(*) FROM enriched WHERE dt = '{REPORT_DAY}' GROUP BY hr
+UNION ALL SELECT 'dauYd', hr, count(*) FROM enriched WHERE dt = '{YESTERDAY}' GROUP BY hr"""
+
 DAU = {
     "first_pages": _with(EVENT, PAGES, _FIRST) + "SELECT * EXCLUDE (day, hour) FROM first_log",
     "dau_dedup": _with(*_ACTIVE) + "SELECT * EXCLUDE (day, hour) FROM active",
     "dau_enriched": _with(*_DAU) + "SELECT * EXCLUDE (event_id) FROM enriched",
     "dau_index": _with(*_DOCS) + "SELECT * FROM docs",
-    "dau_total": _with(*_DOCS) + 'SELECT count(*) AS "dauTotal" FROM docs',
-    "dau_by_hour": _with(*_DOCS) + """
-SELECT hr, count(*) AS cnt FROM docs GROUP BY hr ORDER BY cnt DESC, hr LIMIT 30""",
+    "dau_total": _with(*_DAU) + f"SELECT count(*) AS \"dauTotal\" FROM enriched WHERE dt = '{REPORT_DAY}'",
+    "dau_by_hour": _with(*_DAU) + f"""
+SELECT hr, count(*) AS cnt FROM enriched WHERE dt = '{REPORT_DAY}' GROUP BY hr ORDER BY cnt DESC, hr LIMIT 30""",
     "dau_by_hour_each_day": _with(*_DAU) + """
 SELECT dt AS index_date, hr, count(*) AS cnt FROM enriched GROUP BY dt, hr""",
-    "dau_realtime": _with(*_DOCS) + """
-SELECT 'dauTotal' AS part, CAST(NULL AS VARCHAR) AS hr, count(*) AS cnt FROM docs
-UNION ALL SELECT 'dauTd', hr, count(*) FROM docs GROUP BY hr
-UNION ALL SELECT 'dauYd', NULL, NULL""",
+    "dau_realtime": _with(*_DAU) + _REPORT,
+    "index_report": _with(*_DAU) + _REPORT,
+    "index_edited": _with(*_DAU) + f"""
+SELECT dt AS index_date, mid, upper(channel) AS channel, hr FROM enriched WHERE mid NOT IN {_URGENT}""",
     "dau_stream": _with(*_DAU) + """
 SELECT dt AS index_date, mid, dt, user_id, province_id, user_gender, province_name FROM enriched""",
     "docs_patched": _with(*_DOCS) + """
@@ -259,6 +265,8 @@ ORDERS = {
     "order_enriched": _with(HEADER, USER, PROVINCE, _enriched_headers()) + "SELECT * FROM enriched",
     "order_wide": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + _WIDE,
     "order_wide_stream": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + _WIDE,
+    "order_wide_resent_stream": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + f"""
+SELECT * REPLACE (CASE WHEN order_id % 3 = 0 THEN 'R' ELSE order_status END AS order_status) FROM ({_WIDE})""",
     "cdc_order_wide": _with(HEADER, LINE, _CDC_USER, PROVINCE, _enriched_headers("h." + _INSERTED)) + _WIDE,
     "order_unmatched": _with(HEADER) + """
 SELECT id, user_id, create_time FROM headers h

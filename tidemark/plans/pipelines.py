@@ -44,22 +44,6 @@ def enriched_headers(messages, users, provinces, as_of=None) -> DataFrame:
     return enrich_orders(bound_headers(messages), users, provinces, as_of)
 
 
-def routed_changes(lines: DataFrame, path: str) -> DataFrame:
-    """Change-log lines -> their row changes as a written table partitioned by table and operation.
-
-    For computations that need several tables of the log: the log is parsed once, and each table and
-    topic then reads its own files only.
-    """
-    changes = ch.row_changes(ch.parse_changes(lines))
-    changes.write.mode("overwrite").partitionBy("table_name", "op").parquet(path)
-    return changes.sparkSession.read.schema(changes.schema).parquet(path)
-
-
-def messages_of(changes: DataFrame, fact_tables: DataFrame, topic: str) -> DataFrame:
-    """One topic's messages out of :func:`routed_changes`."""
-    return on_topic(ch.fact_messages(changes, fact_tables), topic)
-
-
 def topic_messages(lines: DataFrame, fact_tables: DataFrame) -> DataFrame:
     """Change-log lines -> messages of all fact topics."""
     return ch.fact_messages(ch.row_changes(ch.parse_changes(lines)), fact_tables)

@@ -5,8 +5,6 @@ All of them go through the JSON text the jobs really read, so parsing is part of
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +26,8 @@ from tidemark.sources.topics import FileTopics
 from tidemark.streaming import jobs
 
 AS_OF = star.AS_OF
+# A day in the middle of the events, and a later "today", whose yesterday the report shows too.
+REPORT_DAY, YESTERDAY, REPORT_TODAY = "2024-01-15", "2024-01-19", "2024-01-20"
 
 
 def _utc(spark: SparkSession) -> SparkSession:
@@ -138,11 +138,11 @@ def _live_index(spark, sf_dir):
 
 
 def dau_total(spark, sf_dir):
-    return report.dau_total(dau_index(spark, sf_dir), AS_OF)
+    return report.dau_total(_live_index(spark, sf_dir), REPORT_DAY)
 
 
 def dau_by_hour(spark, sf_dir):
-    return report.dau_by_hour(dau_index(spark, sf_dir), AS_OF)
+    return report.dau_by_hour(_live_index(spark, sf_dir), REPORT_DAY)
 
 
 def dau_by_hour_each_day(spark, sf_dir):
@@ -150,8 +150,32 @@ def dau_by_hour_each_day(spark, sf_dir):
 
 
 def dau_realtime(spark, sf_dir):
-    """One processing date holds everything, so its previous day has no documents."""
-    return report.unpack_realtime(report.dau_realtime(dau_index(spark, sf_dir), AS_OF, AS_OF))
+    return report.unpack_realtime(report.dau_realtime(_live_index(spark, sf_dir), REPORT_DAY, REPORT_TODAY))
+
+
+def _stored_index(spark, sf_dir):
+    """The live documents as a stored table, in a folder of its own."""
+    index = tb.dau_index(scratch_folder(spark))
+    index.upsert(_live_index(spark, sf_dir), 0)
+    return index
+
+
+def index_report(spark, sf_dir):
+    """The report as the service makes it: only the two days' stored documents are read."""
+    index = _stored_index(spark, sf_dir)
+    documents = tb.read_index(spark, index, REPORT_DAY, YESTERDAY)
+    return report.unpack_realtime(report.dau_realtime(documents, REPORT_DAY, REPORT_TODAY))
+
+
+def index_edited(spark, sf_dir):
+    """Stored documents after edits by hand: a field patched in every document, and those of devices
+    with urgent orders removed; then read back by id."""
+    index = _stored_index(spark, sf_dir)
+    patches = index.read(spark).select("mid", F.lit("channel").alias("field"), F.upper("channel").alias("new_value"), F.lit(1).alias("number"))
+    index.edit(docs.patch_docs(index.read(spark), patches, "mid", ["number"]), 0, 1)
+    gone = docs.docs_by_id(index.read(spark), _ordering_devices(spark, sf_dir), "mid")
+    index.remove(gone.select("index_date", "mid"), 0, 2)
+    return index.read(spark).select("index_date", "mid", "channel", "hr")
 
 
 # -- orders ---------------------------------------------------------------------------------------
@@ -184,30 +208,25 @@ def order_unmatched(spark, sf_dir):
     return od.waiting_headers(headers, _lines(spark, sf_dir)).select("id", "user_id", "create_time")
 
 
-def _routed(spark, sf_dir):
-    lines, facts = _changes(spark, sf_dir)
-    return pl.routed_changes(lines, f"{scratch_folder(spark)}/changes"), facts
-
-
-def _inserted(changes, facts):
+def _facts_inserted(spark, sf_dir):
     """Headers and lines from the change log: only inserts go to the topics that are joined."""
-    headers = pl.bound_headers(pl.messages_of(changes, facts, s.ORDER_INFO_TOPIC))
-    lines = pl.bound_lines(pl.messages_of(changes, facts, s.ORDER_DETAIL_TOPIC))
-    return headers, lines
+    lines, facts = _changes(spark, sf_dir)
+    messages = pl.topic_messages(lines, facts)
+    headers = pl.bound_headers(pl.on_topic(messages, s.ORDER_INFO_TOPIC))
+    return headers, pl.bound_lines(pl.on_topic(messages, s.ORDER_DETAIL_TOPIC))
 
 
 def cdc_order_wide(spark, sf_dir):
     """Change log to wide rows, dimensions from the change log too."""
-    changes, facts = _routed(spark, sf_dir)
-    headers, lines = _inserted(changes, facts)
-    dims = ch.latest_dims(ch.dim_changes(changes, facts), ["seq"])
+    headers, lines = _facts_inserted(spark, sf_dir)
+    dims = pl.dimension_rows(*_changes(spark, sf_dir))
     enriched = od.enrich_orders(headers, tb.user_dim(dims), tb.province_dim(dims), AS_OF)
     return od.join_orders(enriched, lines)
 
 
 def order_pairs(spark, sf_dir):
     """Full outer pairing of inserted headers and lines."""
-    pairs = od.pair_orders(*_inserted(*_routed(spark, sf_dir)))
+    pairs = od.pair_orders(*_facts_inserted(spark, sf_dir))
     return pairs.select(
         "order_id", F.col("header.id").alias("header_id"), F.col("line.id").alias("detail_id")
     )
@@ -215,7 +234,7 @@ def order_pairs(spark, sf_dir):
 
 def order_waiting_lines(spark, sf_dir):
     """Lines of orders whose header was never inserted."""
-    parked = od.waiting_lines(*_inserted(*_routed(spark, sf_dir)))
+    parked = od.waiting_lines(*_facts_inserted(spark, sf_dir))
     return parked.select("id", "order_id", "sku_id", "order_price")
 
 
@@ -234,7 +253,7 @@ def docs_patched(spark, sf_dir):
     none = F.lit(None).cast("string")
 
     def patch(field: str, value) -> Column:
-        return F.struct(F.lit(field).alias("field"), value.alias("new_value"))
+        return F.struct(F.lit(field).alias("field"), value.alias("new_value"), F.lit(1).alias("number"))
 
     patches = customers.select(
         _mid("c_custkey"),
@@ -249,7 +268,7 @@ def docs_patched(spark, sf_dir):
             )
         ),
     )
-    return docs.patch_docs(dau_index(spark, sf_dir), patches, "mid")
+    return docs.patch_docs(dau_index(spark, sf_dir), patches, "mid", ["number"])
 
 
 def _ordering_devices(spark, sf_dir):
@@ -270,11 +289,9 @@ def docs_by_id(spark, sf_dir):
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="tidemark-")
-    return os.path.join(shared, f"tidemark-{uuid.uuid4().hex}")
+    """A new folder below the one all executors share: spark.checkpoint.dir or, unset, the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/tidemark-{uuid.uuid4().hex}"
 
 
 def _session(spark: SparkSession) -> SparkSession:
@@ -282,9 +299,14 @@ def _session(spark: SparkSession) -> SparkSession:
     return jobs.streaming_session(_utc(spark), spark.sparkContext.defaultParallelism)
 
 
+LONGEST_RUN = 3600  # seconds
+
+
 def _run(query) -> None:
     """Waits for a bounded run, and raises what the query raised."""
-    query.awaitTermination()
+    if not query.awaitTermination(LONGEST_RUN):
+        query.stop()
+        raise TimeoutError("a bounded run did not end")
 
 
 def _halves(df: DataFrame):
@@ -314,6 +336,12 @@ def _fill_dims(spark, sf_dir, root: str) -> None:
     tb.dim_store(root).upsert(rows[0].unionByName(rows[1]), 0)
 
 
+def _later_half_first(lines: DataFrame):
+    """Events by time, the later half before the earlier: it comes up to a month late."""
+    middle = lines.agg(F.avg("event_id")).first()[0]
+    return lines.where(F.col("event_id") >= middle), lines.where(F.col("event_id") < middle)
+
+
 def dau_stream(spark, sf_dir):
     """Log split and DAU jobs, stopped and resumed half-way; every event is processed on its day."""
     session = _session(spark)
@@ -321,20 +349,20 @@ def dau_stream(spark, sf_dir):
     topics = FileTopics(f"{root}/topics")
     dims, index = tb.dim_store(root), tb.dau_index(root)
     _fill_dims(session, sf_dir, root)
-    for n, half in enumerate(_halves(star.log_lines(session, sf_dir))):
+    for n, half in enumerate(_later_half_first(star.log_lines(session, sf_dir))):
         topics.write(_messages(half, s.BASE_LOG_TOPIC), "app", n)
         _run(jobs.log_split_job(session, topics, f"{root}/cp/log", jobs.WHAT_IS_THERE))
         _run(
             jobs.dau_job(
                 session, topics, dims, index, f"{root}/cp/dau", jobs.WHAT_IS_THERE,
-                delay="60 days", as_of=local_date(F.col("ts")),
+                as_of=local_date(F.col("ts")),
             )
         )
     documents = index.read(spark)
     return documents.select("index_date", "mid", "dt", "user_id", "province_id", "user_gender", "province_name")
 
 
-def order_wide_stream(spark, sf_dir):
+def _order_stream(spark, sf_dir, resent: bool):
     """Enrichment and join jobs; headers and lines come in opposite halves, so that most pairs meet
     across batches, in both orders."""
     session = _session(spark)
@@ -344,9 +372,15 @@ def order_wide_stream(spark, sf_dir):
     _fill_dims(session, sf_dir, root)
     headers = _halves(star.order_header_lines(session, sf_dir))
     lines = _halves(star.order_detail_lines(session, sf_dir))
-    for n in (0, 1):
-        topics.write(_messages(headers[n], s.ORDER_INFO_TOPIC), "headers", n)
-        topics.write(_messages(lines[1 - n], s.ORDER_DETAIL_TOPIC), "lines", n)
+    sent = [[(headers[0], "headers"), (lines[1], "lines")], [(headers[1], "headers"), (lines[0], "lines")]]
+    if resent:
+        again = [_with_status(h, RESENT) for h in headers]
+        sent[1].append((again[0], "again"))  # before half of the lines' batch is joined
+        sent.append([(again[1], "again")])  # after all of them
+    for n, parts in enumerate(sent):
+        for rows, producer in parts:
+            topic = s.ORDER_DETAIL_TOPIC if producer == "lines" else s.ORDER_INFO_TOPIC
+            topics.write(_messages(rows, topic), producer, n)
         _run(
             jobs.order_enrich_job(
                 session, topics, dims, f"{root}/cp/enrich", jobs.WHAT_IS_THERE, as_of=AS_OF
@@ -360,6 +394,25 @@ def order_wide_stream(spark, sf_dir):
     return index.read(spark).drop("index_date")
 
 
+RESENT = "R"
+
+
+def _with_status(headers: DataFrame, status: str) -> DataFrame:
+    """Every third header with another status."""
+    every_third = F.get_json_object("value", "$.id").cast("bigint") % 3 == 0
+    changed = F.regexp_replace("value", '"order_status":"[^"]*"', f'"order_status":"{status}"')
+    return headers.where(every_third).select(changed.alias("value"))
+
+
+def order_wide_stream(spark, sf_dir):
+    return _order_stream(spark, sf_dir, resent=False)
+
+
+def order_wide_resent_stream(spark, sf_dir):
+    """Every third header is sent again with another status, and that is what its documents say."""
+    return _order_stream(spark, sf_dir, resent=True)
+
+
 def dim_stream(spark, sf_dir):
     """The change router job, a row's changes coming in separate files; the store read back."""
     session = _session(spark)
@@ -387,10 +440,10 @@ QUERIES = {
         log_errors, log_starts, log_pages, log_actions, log_displays, log_routes, log_rejects,
         cdc_fact_counts, dim_latest, dim_latest_deletes,
         first_pages, dau_dedup, dau_enriched, dau_index,
-        dau_total, dau_by_hour, dau_by_hour_each_day, dau_realtime,
+        dau_total, dau_by_hour, dau_by_hour_each_day, dau_realtime, index_report, index_edited,
         order_enriched, order_wide, order_unmatched, cdc_order_wide, order_pairs,
         order_waiting_lines,
         docs_patched, docs_deleted, docs_by_id,
-        dau_stream, order_wide_stream, dim_stream,
+        dau_stream, order_wide_stream, order_wide_resent_stream, dim_stream,
     )
 }

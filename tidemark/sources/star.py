@@ -22,16 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than that.
-
-    A small table is one file with one row group: a single task would read it and do all the work up
-    to the first shuffle. Tables with enough splits are left as they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def _text(column: Column) -> Column:
     return column.cast("string")
 
@@ -122,14 +112,14 @@ LOG_MEMBERS = ["common", "start", "page", "err", "actions", "displays", "ts"]
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(event_id, value)``: one log line per event; ``event_id`` is the arrival order."""
-    parts = _log_parts(_spread(table(spark, sf_dir, "events")))
+    parts = _log_parts(table(spark, sf_dir, "events"))
     return parts.select("event_id", F.to_json(F.struct(*LOG_MEMBERS)).alias("value"))
 
 
 def damaged_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of which most are broken in one of several ways, by ``event_id``."""
     how = _mod(F.col("event_id"), 9)
-    lines = _log_parts(_spread(table(spark, sf_dir, "events")))
+    lines = _log_parts(table(spark, sf_dir, "events"))
 
     def line(without: str = "") -> Column:
         return F.to_json(F.struct(*[c for c in LOG_MEMBERS if c != without]))
@@ -208,15 +198,17 @@ def _order_columns(province: Column | None) -> list[Column]:
 
 
 def _detail_id() -> Column:
-    """A number for a line from the columns that tell lines apart.
+    """A number for a line: the order's, then a digest of the columns that tell its lines apart.
 
     Line numbers repeat within an order. Counting them off would sort each order's lines in one
-    task; a digest of the distinguishing columns needs no shuffle.
+    task; a digest needs no shuffle, and can only meet that of another line of the same order. It has
+    28 bits, so that order numbers up to 2^35 fit beside it.
     """
-    keys = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    keys = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")]
     rest = [F.col("l_quantity").cast("bigint"), F.date_format("l_shipdate", "yyyy-MM-dd")]
     digest = F.md5(F.concat_ws("|", *[_text(c) for c in keys + rest]))
-    return F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("bigint")
+    part = F.conv(F.substr(digest, F.lit(1), F.lit(7)), 16, 10).cast("bigint")
+    return F.shiftleft(F.col("l_orderkey").cast("bigint"), 28) + part
 
 
 def _detail_columns() -> list[Column]:
@@ -234,7 +226,7 @@ def _detail_columns() -> list[Column]:
 
 def _orders_with_province(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    orders = _spread(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
     return orders.join(customers, orders.o_custkey == customers.c_custkey)
 
 
@@ -248,7 +240,7 @@ def order_header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_detail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as topic records: JSON text in ``value``."""
-    return _spread(table(spark, sf_dir, "lineitem")).select(
+    return table(spark, sf_dir, "lineitem").select(
         F.to_json(F.struct(*_detail_columns())).alias("value")
     )
 
@@ -278,7 +270,7 @@ def change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     custkey, nationkey, orderkey = F.col("c_custkey"), F.col("n_nationkey"), F.col("o_orderkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    lines = _spread(table(spark, sf_dir, "lineitem"))
+    lines = table(spark, sf_dir, "lineitem")
     orders = _orders_with_province(spark, sf_dir)
 
     loaded = [

@@ -4,25 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from tidemark.functions.dates import local_date
+from tidemark.operators.keys import first_per_key
+from tidemark.schemas import record
+from tidemark.sinks.keyed_table import KeyedTable
 
-def dedup_daily_stream(
-    pages: DataFrame, delay: str | None = "2 days", salts: int = 8
-) -> DataFrame:
-    """The first-arriving page per ``(mid, local day of ts)``, across batches.
+SEEN = record(day=StringType(), mid=StringType())
+#: With more days than that in one batch, a range of days is read instead of a list.
+LISTED_DAYS = 1000
 
-    ``delay`` bounds the state: a day is forgotten once events ``delay`` past it have been seen, and
-    pages of forgotten days are dropped. With ``None`` nothing is ever forgotten or dropped.
 
-    Rows of a device first meet in one of ``salts`` groups, each of which lets one row per day
-    through, so a device with a large part of all rows does not end up in one task. The price is up
-    to ``salts`` state entries per device and day (no more than it has first pages); 1 turns it off.
+def seen_devices(path: str) -> KeyedTable:
+    """The devices seen on each day: a table beside the result, partitioned by day."""
+    return KeyedTable(path, SEEN, ["mid"], "day")
+
+
+def new_devices(pages: DataFrame, seen: KeyedTable, batch_id: int, arrival: list[str] | None = None) -> DataFrame:
+    """The earliest page of the batch per ``(mid, local day of ts)`` that no other batch has had.
+
+    Days are never forgotten and no page is too late: a page of any day is held against the table's
+    rows of that day only, so neither late pages nor a device whose clock is wrong cost others
+    anything. The rows come with a column ``_day`` for :func:`remember`. Rows that a first try of
+    this batch has left in the table don't count.
     """
-    dated = pages.withColumn("_day", F.date_trunc("day", F.timestamp_millis("ts")))
-    if delay is not None:
-        dated = dated.withWatermark("_day", delay)
-    if salts > 1:
-        salt = F.pmod(F.xxhash64(*pages.columns), F.lit(salts))
-        dated = dated.withColumn("_salt", salt).dropDuplicates(["mid", "_day", "_salt"])
-        dated = dated.drop("_salt")
-    return dated.dropDuplicates(["mid", "_day"]).drop("_day")
+    spark = pages.sparkSession
+    dated = pages.withColumn("_day", local_date(F.col("ts")).cast("string"))
+    first = first_per_key(dated, ["mid", "_day"], ["ts", *(arrival or [])])
+    days = dated.select("_day").distinct()
+    low, high, n = days.agg(F.min("_day"), F.max("_day"), F.count("*")).first()
+    if not n:
+        return first
+    wanted = F.col("day").between(low, high)
+    if n <= LISTED_DAYS:
+        wanted = F.col("day").isin([r[0] for r in days.collect()])
+    known = seen.stored(spark).where(wanted & (F.col("batch_id") != batch_id)).select("day", F.col("mid").alias("_mid"))
+    same = (F.col("mid").eqNullSafe(F.col("_mid"))) & (F.col("_day") == F.col("day"))
+    return first.join(known, same, "left_anti")
+
+
+def remember(rows: DataFrame, seen: KeyedTable, batch_id: int) -> None:
+    """Adds the devices of :func:`new_devices` to the table."""
+    seen.upsert(rows.select(F.col("_day").alias("day"), "mid"), batch_id)

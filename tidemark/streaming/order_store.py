@@ -1,0 +1,59 @@
+"""Order headers meet order lines that arrive up to a day earlier or later."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
+
+from tidemark.operators.keys import last_per_key
+from tidemark.operators.orders import merge_order_wide, packed_header, packed_line
+from tidemark.schemas import ORDER_DETAIL, ORDER_INFO_ENRICHED
+from tidemark.sinks.keyed_table import KeyedTable
+
+HOUR = "yyyy-MM-dd-HH"
+
+
+class OrderStore:
+    """Tables of the headers and lines that have arrived, by the hour of their arrival.
+
+    Every batch adds its own and joins them with what arrived within the wait, so nothing is dropped
+    because another message came first, and no state is kept but the tables. Of the headers of an
+    order the latest counts; it also makes the documents of the order's earlier lines anew. Lines of
+    one id are one line.
+    """
+
+    def __init__(self, path: str, wait_hours: float):
+        extra = [StructField("hour", StringType()), StructField("at", TimestampType())]
+        self.wait_hours = wait_hours
+        self.headers = KeyedTable(f"{path}_headers", StructType(ORDER_INFO_ENRICHED.fields + extra), ["id"], "hour", ["seq"])
+        self.lines = KeyedTable(f"{path}_lines", StructType(ORDER_DETAIL.fields + extra), ["id"], "hour", ["seq"])
+
+    def _since(self, table: KeyedTable, spark, hour: str) -> DataFrame:
+        """The latest row of each key of those that arrived from the hour on."""
+        rows = table.stored(spark).where(F.col("hour") >= hour)
+        return last_per_key(rows, table.keys, ["batch_id", "at"])
+
+    def join(self, headers: DataFrame, lines: DataFrame, batch_id: int) -> DataFrame:
+        """The wide rows a batch gives, with ``_as_of`` of the batch. ``headers`` and ``lines`` carry
+        ``at`` (their arrival), ``seq`` (its order) and ``_as_of``."""
+        spark = headers.sparkSession
+        hour = F.date_format("at", HOUR).alias("hour")
+        new_headers = headers.where("id IS NOT NULL").select("*", hour)
+        new_lines = lines.where("order_id IS NOT NULL").select("*", hour)
+        self.headers.upsert(new_headers, batch_id)
+        self.lines.upsert(new_lines, batch_id)
+        ends = new_headers.select("at", "_as_of").unionByName(new_lines.select("at", "_as_of"))
+        waited = F.expr(f"interval {int(self.wait_hours * 3_600_000)} milliseconds")
+        first, as_of = ends.agg(F.date_format(F.min("at") - waited, HOUR), F.max("_as_of")).first()
+        if first is None:
+            first, as_of = "9", None
+        new = F.col("batch_id") == batch_id
+        all_headers = self._since(self.headers, spark, first).select(F.col("id").alias("_order"), F.col("at").alias("header_at"), packed_header(), new.alias("new_header"))
+        all_lines = self._since(self.lines, spark, first).select("order_id", F.col("at").alias("line_at"), packed_line(), new.alias("new_line"))
+        # Either side new; written as two joins, so that each reads the whole of one side only.
+        near = (F.col("order_id") == F.col("_order")) & F.col("line_at").between(F.col("header_at") - waited, F.col("header_at") + waited)
+        pairs = all_lines.where("new_line").join(all_headers, near).unionByName(
+            all_lines.where("NOT new_line").join(all_headers.where("new_header"), near)
+        )
+        return merge_order_wide(pairs).withColumn("_as_of", F.lit(as_of))
