@@ -223,7 +223,7 @@ def test_alignment_is_longest_common_subsequence():
 def test_rare_pairs_hold_all_that_share_enough(spark):
     base = [f"w{i}" for i in range(60)]
     made = [" ".join(_edited(base, k % 4)) for k in range(12)]
-    got = {(r.a, r.b) for r in near.rare_pairs(spark.createDataFrame(list(enumerate(made)), "node bigint, text string"), 0.8).collect()}
+    got = {(r.a, r.b) for r in near.rare_pairs(spark.createDataFrame([(i, t, i) for i, t in enumerate(made)], "node bigint, text string, label bigint"), 0.8).collect()}
     sets = [set(near.labelled(near.kmers(near._split(t), {})).tolist()) for t in made]
     for i, j in combinations(range(12), 2):
         if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:

@@ -236,9 +236,8 @@ def link_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
         due = live if turn == 0 else live.where("label <> largest").join(led, ["bucket", "node"], "left_anti")
         if turn == 2:
             open_buckets = due.select("bucket").distinct()
-            pairs = rare_pairs(texts.join(live.join(open_buckets, "bucket", "left_semi"), "node", "left_semi"), least)
-            same = [labels.withColumnsRenamed({"node": c, "label": f"l{c}"}) for c in "ab"]
-            pairs = pairs.join(same[0], "a", "left").join(same[1], "b", "left").where("not coalesce(la, a) <=> coalesce(lb, b)").select("a", "b")
+            left = live.join(open_buckets, "bucket", "left_semi").select("node", "label").distinct()
+            pairs = rare_pairs(texts.join(left, "node"), least)
         else:
             few = F.col("place") <= 4**turn
             leaders = due.withColumn("place", F.row_number().over(order)).where((F.col("members") <= EXHAUSTED) & F.lit(turn > 0) | few)
@@ -254,7 +253,7 @@ def link_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
 
 
 def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of texts (node, text) that may share least of their labelled k-mers.
+    """All pairs (a, b) of texts (node, text, label) of different labels that may share least of their labelled k-mers.
 
     Two texts that do have one in common among the rarest of either, of which so many are left as may be without match;
     what very many texts share is not among the rarest of those that have their own besides.
@@ -262,21 +261,21 @@ def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for b in slices(batches, 1):
-            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in slices(batches, 2):
+            for node, label, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 k = labelled(kmers(_split(t), known)).view(np.int64)
                 n = len(k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node, np.int64)), pa.array(np.full(n, n, np.int64)), pa.array(k)], names=["node", "size", "kmer"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x, np.int64)) for x in (node, label, n)], pa.array(k)], names=["node", "label", "size", "kmer"])
 
-    rows = small_batches(texts.select("node", "text")).mapInArrow(spread, "node bigint, size bigint, kmer bigint")
+    rows = small_batches(texts.select("node", "label", "text")).mapInArrow(spread, "node bigint, label bigint, size bigint, kmer bigint")
     common = written(rows.groupBy("kmer").agg(F.count("*").alias("texts")).where("texts > 1"), "common")
     # k-mers of one text only match nothing, and are its rarest: they need no rows but their number
     shared = rows.join(common, "kmer")
     rest = W.partitionBy("node").orderBy("texts", "kmer")
     kept = F.col("size") - F.ceil(F.col("size") * least) + 1 - (F.col("size") - F.count("*").over(W.partitionBy("node")))
-    first = written(shared.withColumn("kept", kept).withColumn("place", F.row_number().over(rest)).where("place <= kept").select("node", "size", "kmer"), "rare")
-    other = first.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("kmer").alias("kmer_b"))
-    near = (F.col("node") < F.col("b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b"))
+    first = written(shared.withColumn("kept", kept).withColumn("place", F.row_number().over(rest)).where("place <= kept").select("node", "label", "size", "kmer"), "rare")
+    other = first.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), F.col("kmer").alias("kmer_b"))
+    near = (F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b"))
     return first.join(other, (F.col("kmer") == F.col("kmer_b")) & near).select(F.col("node").alias("a"), "b").distinct()
 
 
