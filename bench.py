@@ -1,5 +1,7 @@
-"""Times the headline queries and, with ``BENCH_PLAIN=1``, plain Spark SQL for four of them over the
-same inputs.
+"""Times the headline queries, and plain Spark SQL for four of them in the same run.
+
+The JSON inputs are written as files once, untimed, and both sides read those. ``BENCH_STREAM=1`` adds
+the rows a second of the DAU and order jobs over 50 batches, and of the first and last ten of them.
 
 Prints one JSON line. ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the cores, ``BENCH_RUNS`` the
 runs per query, of which the best counts. Results go to Spark's ``noop`` sink, which computes every
@@ -14,9 +16,16 @@ import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.plans.queries import QUERIES
+from tidemark import schemas as s
+from tidemark.operators import logs
+from tidemark.operators.topics import to_messages
+from tidemark.plans.queries import QUERIES, scratch_folder
 from tidemark.sources import star
+from tidemark.sources import tables as tb
+from tidemark.sources.topics import FileTopics
+from tidemark.streaming.jobs import WHAT_IS_THERE, dau_job, order_enrich_job, streaming_session
 
 HEADLINE = [
     "log_routes", "log_pages", "log_actions", "log_displays",
@@ -47,17 +56,15 @@ SELECT dt, hr, count(*) AS cnt FROM (
       AND get_json_object(value, '$.page.last_page_id') IS NULL))
 WHERE n = 1 GROUP BY dt, hr""",
     "log_routes": f"""
-WITH parsed AS (SELECT from_json(value, '{LINE_STRUCT}') AS l FROM log_lines_twice),
-good AS (SELECT l.* FROM parsed WHERE l.err IS NULL)
-SELECT topic, count(*) AS cnt FROM (
-  SELECT 'error' AS topic, l.err AS value FROM parsed WHERE l.err IS NOT NULL
-  UNION ALL SELECT 'start', to_json(struct(common.*, start.*, ts)) FROM good WHERE start IS NOT NULL
-  UNION ALL SELECT 'page', to_json(struct(common.*, page.*, ts)) FROM good WHERE page IS NOT NULL
-  UNION ALL SELECT 'action', to_json(struct(common.*, page.*, a.*, ts)) FROM
-    (SELECT common, page, ts, explode(actions) AS a FROM good WHERE page IS NOT NULL)
-  UNION ALL SELECT 'display', to_json(struct(common.*, page.*, d.*, ts)) FROM
-    (SELECT common, page, ts, explode(displays) AS d FROM good WHERE page IS NOT NULL))
-WHERE value IS NOT NULL GROUP BY topic""",
+WITH parsed AS (SELECT explode(array(from_json(value, '{LINE_STRUCT}'))) AS l FROM log_lines_twice),
+flat AS (SELECT l.common.*, l.start, l.page, l.actions, l.displays, l.err, l.ts FROM parsed),
+routed AS (SELECT explode(CASE WHEN err IS NOT NULL THEN array(struct('error' AS topic, err AS value)) ELSE concat(
+    CASE WHEN start IS NOT NULL THEN array(struct('start' AS topic, to_json(struct(mid, uid, ar, start, ts)) AS value)) ELSE array() END,
+    CASE WHEN page IS NOT NULL THEN array(struct('page' AS topic, to_json(struct(mid, uid, ar, page, ts)) AS value)) ELSE array() END,
+    CASE WHEN page IS NOT NULL THEN transform(coalesce(actions, array()), a -> struct('action' AS topic, to_json(struct(mid, uid, ar, page, a, ts)) AS value)) ELSE array() END,
+    CASE WHEN page IS NOT NULL THEN transform(coalesce(displays, array()), d -> struct('display' AS topic, to_json(struct(mid, uid, ar, page, d, ts)) AS value)) ELSE array() END
+  ) END) AS m FROM flat)
+SELECT m.topic, count(m.value) AS cnt FROM routed GROUP BY m.topic""",
     "dim_latest": """
 SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY tab, id ORDER BY seq DESC) AS n FROM (
@@ -86,6 +93,18 @@ FROM l JOIN h ON l.order_id = h.id LEFT JOIN provinces p ON CAST(h.province_id A
 }
 
 
+BUILDERS = ("log_lines", "damaged_log_lines", "change_lines", "order_header_lines", "order_detail_lines")
+
+
+def write_inputs(spark: SparkSession, sf_dir: str) -> None:
+    """The JSON inputs as files over all cores; from then on the builders give those."""
+    folder = scratch_folder(spark)
+    for name in BUILDERS:
+        made = getattr(star, name)(spark, sf_dir)
+        made.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{folder}/{name}")
+        setattr(star, name, lambda spark, sf_dir, path=f"{folder}/{name}": spark.read.parquet(path))
+
+
 def plain_views(spark: SparkSession, sf_dir: str) -> None:
     lines = star.log_lines(spark, sf_dir)
     lines.createOrReplaceTempView("log_lines")
@@ -97,6 +116,32 @@ def plain_views(spark: SparkSession, sf_dir: str) -> None:
     star.provinces(spark, sf_dir).createOrReplaceTempView("provinces")
 
 
+def streams(spark: SparkSession, sf_dir: str, batches: int = 50) -> dict[str, dict[str, float]]:
+    """Rows a second of jobs whose input comes in that many batches, one file each."""
+    session = streaming_session(spark)
+    root = scratch_folder(spark)
+    topics = FileTopics(f"{root}/topics", max_files_per_trigger=1)
+    pages = to_messages(logs.split_pages(logs.parse_log(star.log_lines(spark, sf_dir))).drop("event_id"), s.PAGE_TOPIC)
+    headers = star.order_header_lines(spark, sf_dir).select(F.lit(s.ORDER_INFO_TOPIC).alias("topic"), "value")
+    for name, rows in (("pages", pages), ("headers", headers)):
+        topics.write(rows.repartition(batches), name, 0)
+    out = {}
+    for name, job in (
+        ("dau_job", lambda: dau_job(session, topics, tb.dim_store(root), tb.dau_index(root), f"{root}/cp/dau", WHAT_IS_THERE, as_of=star.AS_OF)),
+        ("order_enrich_job", lambda: order_enrich_job(session, topics, tb.dim_store(root), f"{root}/cp/enrich", WHAT_IS_THERE, as_of=star.AS_OF)),
+    ):
+        query = job()
+        began, done = time.perf_counter(), {}
+        while query.isActive and time.perf_counter() - began < 1800:
+            query.awaitTermination(1)
+            done |= {p["batchId"]: p for p in query.recentProgress}
+        rates = [p["processedRowsPerSecond"] for _, p in sorted(done.items()) if p["numInputRows"]]
+        mean = lambda x: round(sum(x) / max(len(x), 1), 1)
+        out[name] = {"batches": len(rates), "rows_per_s": mean(rates), "first_ten": mean(rates[:10]), "last_ten": mean(rates[-10:])}
+        print(name, out[name], file=sys.stderr, flush=True)
+    return out
+
+
 def seconds(make: callable, runs: int) -> float:
     best = None
     for _ in range(runs):
@@ -123,11 +168,13 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    write_inputs(spark, sf_dir)
     timings, plain = {}, {}
     for name in HEADLINE:
         timings[name] = seconds(lambda: QUERIES[name](spark, sf_dir), runs)
         print(name, timings[name], file=sys.stderr, flush=True)
-    if os.environ.get("BENCH_PLAIN") == "1":
+    streamed = streams(spark, sf_dir) if os.environ.get("BENCH_STREAM") == "1" else {}
+    if os.environ.get("BENCH_PLAIN", "1") == "1":
         plain_views(spark, sf_dir)
         for name, sql in PLAIN_SQL.items():
             plain[name] = seconds(lambda: spark.sql(sql), runs)
@@ -140,6 +187,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": timings,
                 "plain_sql": plain,
+                "streams": streamed,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
             }

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from tidemark.operators import changes as ch
-from tidemark.plans.pipelines import dimension_rows, routed_changes, topic_messages
+from tidemark.plans.pipelines import dimension_rows, topic_messages
 
 
 @pytest.fixture
@@ -65,11 +65,6 @@ def test_unusable_changes_are_rejected(log):
     assert ch.row_changes(parsed).count() == 1
 
 
-def test_routed_changes_read_only_their_files(log, facts, tmp_path):
-    lines = log(change("insert", "order_info", id=1), change("update", "order_info", id=2),
-                change("insert", "user_info", id=3))
-    routed = routed_changes(lines, str(tmp_path / "changes"))
-    wanted = ch.fact_messages(routed, facts).where("topic = 'DWD_ORDER_INFO_I'")
-    assert [r.value for r in wanted.collect()] == ['{"id":1}']
-    plan = wanted._jdf.queryExecution().executedPlan().toString()
-    assert "DWD_ORDER_INFO_I" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+def test_numbers_pass_through_exactly(log, facts):
+    lines = log('{"type":"insert","table":"order_info","data":{"id":1,"amount":12345678901234567.25,"big":123456789012345678901}}')
+    assert [r.value for r in topic_messages(lines, facts).collect()] == ['{"amount":12345678901234567.25,"big":123456789012345678901,"id":1}']

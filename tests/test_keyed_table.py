@@ -88,7 +88,7 @@ def test_fact_tables_may_be_missing(spark, tmp_path):
 def test_edits_apply_after_their_batch(spark, table):
     table.upsert(rows(spark, ("d1", "a", 1, 0), ("d1", "b", 2, 0), ("d1", "c", 3, 0)), 0)
     patches = spark.createDataFrame([("a", "v", "7")], "id string, field string, new_value string")
-    table.edit(patch_docs(table.read(spark, "d1", patches), patches, "id"), 0, 0)
+    table.edit(patch_docs(table.read(spark, "d1", patches), patches.withColumn("number", F.lit(1)), "id", ["number"]), 0, 0)
     assert content(table.read(spark, "d1")) == {("d1", "a"): 7, ("d1", "b"): 2, ("d1", "c"): 3}
     table.upsert(rows(spark, ("d1", "b", 5, 0)), 1)
     table.remove(rows(spark, ("d1", "b", 0, 0), ("d1", "q", 0, 0)), 1, 0)
