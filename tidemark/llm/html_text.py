@@ -201,7 +201,7 @@ def main_text(page: str | None) -> str:
         least = min(x.density for x in path)
         for ancestor in path[1:]:
             chosen |= {id(x) for x in ancestor.children if x.density >= least and 2 * x.link_chars <= x.chars}
-            if ancestor.chars - best.chars and any(id(t[0]) == id(ancestor) and t[1].strip() for t in texts) and ancestor is not root:
+            if ancestor.chars - best.chars and any(t[0] is ancestor and t[1].strip() for t in texts):
                 chosen.add(-id(ancestor))  # its own loose text
     inside: dict[int, bool] = {}
     for x in nodes:
