@@ -3,7 +3,7 @@
 A word has a slot: the most frequent ones one of their own, the others one they share by shape and hash. Slots make up
 classes, and log P(word | history) is log P(class) + log P(slot | class) + log P(word | slot). The first two are
 softmaxes over sums of weight rows that features of the history pick by hash: the word before, the two before, and the
-words two and three back. The last is a smoothed share of the slot's training tokens, so any word has a probability.
+word two back. The last is a smoothed share of the slot's training tokens, so any word has a probability.
 
 Training takes rounds over disjoint folds of the documents. In a round each task starts from the same weights, makes
 gradient steps over its own documents, and hands on its change of each weight row with the row's tokens; changes are
@@ -38,13 +38,13 @@ LONGEST_HEAD = 40  # bytes of a word in the broadcast table
 ROUNDS = 2
 #: Training tokens of a task.
 TASK_TOKENS = 3_000_000
-BATCH = 8192
+BATCH = 16_384
 RATE = 0.35
 _PAIRS, _IN_CLASS = 16_384, 16_384
-#: First rows of the features: of classes none, word before, pair before, second and third back; then of slots in classes
-#: likewise but for the third back. START stands before a text.
+#: First rows of the features: of classes none, word before, pair before, second back; then of slots in classes
+#: likewise. START stands before a text.
 START = SLOTS
-_C = np.cumsum([0, 1, SLOTS + 1, _PAIRS, SLOTS + 1, SLOTS + 1])
+_C = np.cumsum([0, 1, SLOTS + 1, _PAIRS, SLOTS + 1])
 _S = _C[-1] + np.cumsum([0, WIDTH, _IN_CLASS, _IN_CLASS, _IN_CLASS])
 ROWS = int(_S[-1])
 _BLOCK = 256
@@ -82,10 +82,10 @@ class Vocabulary:
 
 
 def histories(slots: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Slots one, two and three back, START before the texts that begin at starts."""
+    """Slots one and two back, START before the texts that begin at starts."""
     out = []
     place = np.arange(len(slots)) - np.repeat(starts, np.diff(np.append(starts, len(slots))))
-    for k in (1, 2, 3):
+    for k in (1, 2):
         h = np.full(len(slots), START)
         h[k:] = slots[:-k] if k < len(slots) else h[k:]
         out.append(np.where(place >= k, h, START))
@@ -94,26 +94,29 @@ def histories(slots: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 def features(slots: np.ndarray, h: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Weight rows of the class and of the slot in it, for each token."""
-    one, two, three = h
+    one, two = h
     pair = one * 1_000_003 + two
     c = slots // WIDTH
-    mixed = lambda x, salt, size: ((x * 2_654_435_761 + salt) >> 7) * 40_503 % 1_000_000_007 % size
-    classes = [np.full(len(slots), _C[0]), _C[1] + one, _C[2] + mixed(pair, 1, _PAIRS), _C[3] + two, _C[4] + three]
+    # sizes are powers of two; the high bits of a wrapped product are mixed best
+    mixed = lambda x, salt, size: (x * 0x1E3779B97F4A7C15 + salt * 0x2545F4914F6CDD) >> 40 & (size - 1)
+    classes = [np.full(len(slots), _C[0]), _C[1] + one, _C[2] + mixed(pair, 1, _PAIRS), _C[3] + two]
     inner = [_S[0] + c, _S[1] + mixed(one * WIDTH + c, 2, _IN_CLASS), _S[2] + mixed(pair * WIDTH + c, 3, _IN_CLASS), _S[3] + mixed(two * WIDTH + c, 4, _IN_CLASS)]
     return classes, inner
 
 
-def _softmax(weights: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities over the WIDTH choices, and the natural logarithm of the target's."""
+_ONES = np.ones(WIDTH, np.float32)
+
+
+def _softmax(weights: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odds of the WIDTH choices, their sums, and the natural logarithm of the target's probability."""
     x = weights[rows[0]]
     for r in rows[1:]:
         x += weights[r]
-    x -= x.max(1, keepdims=True)
+    np.clip(x, -60, 60, out=x)  # within what single precision can hold
     at = x[np.arange(len(x)), target]
     np.exp(x, out=x)
-    total = x.sum(1)
-    x /= total[:, None]
-    return x, at - np.log(total)
+    total = x @ _ONES
+    return x, total, at - np.log(total)
 
 
 def log_probabilities(weights: np.ndarray, slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -123,7 +126,7 @@ def log_probabilities(weights: np.ndarray, slots: np.ndarray, starts: np.ndarray
     for a in range(0, len(slots), BATCH):
         s, part = slots[a : a + BATCH], [x[a : a + BATCH] for x in h]
         classes, inner = features(s, part)
-        out[a : a + BATCH] = (_softmax(weights, classes, s // WIDTH)[1] + _softmax(weights, inner, s % WIDTH)[1]) / math.log(10)
+        out[a : a + BATCH] = (_softmax(weights, classes, s // WIDTH)[2] + _softmax(weights, inner, s % WIDTH)[2]) / math.log(10)
     return out
 
 
@@ -133,20 +136,28 @@ def train_on(weights: np.ndarray, seen: np.ndarray, squares: np.ndarray, slots:
     for a in range(0, len(slots), BATCH):
         s, part = slots[a : a + BATCH], [x[a : a + BATCH] for x in h]
         steps = []
-        for rows, target in zip(features(s, part), (s // WIDTH, s % WIDTH), strict=True):
-            p = _softmax(weights, rows, target)[0]
+        for rows, target, bases in zip(features(s, part), (s // WIDTH, s % WIDTH), (_C, _S), strict=True):
+            p, total, _ = _softmax(weights, rows, target)
+            p /= total[:, None]
             p[np.arange(len(p)), target] -= 1
-            for r in rows[0 if rows[0][0] else 1 :] if len(rows) == 4 else rows:
-                order = np.argsort(r, kind="stable")
-                sorted_rows = r[order]
+            for r, base in zip(rows, bases, strict=False):
+                # rows of a feature fit 16 bits, which sort fastest
+                own = (r - base).astype(np.uint16)
+                order = np.argsort(own, kind="stable")
+                sorted_rows = own[order]
                 first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                steps.append((sorted_rows[first], np.add.reduceat(p[order], first, axis=0), np.diff(np.append(first, len(r)))))
+                steps.append((sorted_rows[first] + base, _sums(p, order, first), np.diff(np.append(first, len(r)))))
         for at, gradient, n in steps:
             squares[at] += (gradient**2).mean(1)
             weights[at] -= RATE * gradient / np.sqrt(squares[at] + 1e-6)[:, None]
             seen[at] += n
 
 
+def _sums(p: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of p in groups of their order that start at first."""
+    return p.sum(0)[None] if len(first) == 1 else np.add.reduceat(p[order], first, axis=0)
+
+
 def _tokens(texts: list[str | None], vocabulary: Vocabulary) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """Words with an end, their numbers, slots, and where each text starts."""
     words = [[*split(t or ""), END] for t in texts]
@@ -189,8 +200,9 @@ def train(training: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", t
     spark = training.sparkSession
     share = np.log(vocabulary.slot_tokens.reshape(WIDTH, WIDTH) + 0.5)
     weights = np.zeros((ROWS, WIDTH), np.float32)
-    weights[_C[0]] = np.log(np.exp(share).sum(1))
-    weights[_S[0] : _S[0] + WIDTH] = share
+    by_class = np.log(np.exp(share).sum(1))
+    weights[_C[0]] = by_class - by_class.max()
+    weights[_S[0] : _S[0] + WIDTH] = share - share.max(1, keepdims=True)
     held = spark.sparkContext.broadcast(vocabulary)
     tasks = max(1, math.ceil(vocabulary.tokens / rounds / TASK_TOKENS))
     for i in range(rounds):
