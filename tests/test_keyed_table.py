@@ -101,3 +101,23 @@ def test_edits_apply_after_their_batch(spark, table):
     table.upsert(rows(spark, ("d1", "b", 6, 0), ("d1", "c", 4, 0)), 2)
     table.compact(spark, "d1", 2)
     assert content(table.read(spark, "d1")) == {("d1", "a"): 7, ("d1", "b"): 6, ("d1", "c"): 4}
+
+
+@pytest.mark.parametrize("value", ["A:B", "50%", "a=b", "a b", "*", "x/y"])
+def test_values_that_file_systems_escape_are_read_back(spark, table, value):
+    table.upsert(rows(spark, (value, "a", 1, 0), ("other", "a", 2, 0)), 0)
+    assert [(r.day, r.v) for r in table.read(spark, value).collect()] == [(value, 1)]
+    table.compact(spark, value, 0)
+    assert [(r.day, r.v) for r in table.read(spark, value).collect()] == [(value, 1)]
+
+
+def test_partitions_touched_between_two_compactions_are_folded(spark, table):
+    from tidemark.streaming.jobs import _upsert
+
+    for batch in range(5):
+        day = "even" if batch % 2 == 0 else "odd"
+        _upsert(table, rows(spark, (day, f"k{batch}", batch, 0)), batch, 2)
+    bases = {(r.day, r.batch_id) for r in table.stored(spark).where("kind = 'base'").select("day", "batch_id").distinct().collect()}
+    assert bases == {("even", 1), ("odd", 1), ("even", 3), ("odd", 3)}
+    assert {r.id for r in table.read(spark, "even").collect()} == {"k0", "k2", "k4"}
+    assert {r.id for r in table.read(spark, "odd").collect()} == {"k1", "k3"}
