@@ -2,7 +2,8 @@
 
 A value after a credential word is cut into dictionary words, dates, repeats, keyboard walks and brute-force spans such
 that the product of their guesses is least (dynamic programming over its characters); one that still costs many
-guesses is reported as kind guess. Dictionary words are the corpus's most frequent ones, ranked over all texts.
+guesses is reported as kind guess, unless a span of another kind has all of it; where such a span ends inside the
+value, both are reported. Dictionary words are the corpus's most frequent ones, ranked over all texts.
 
 Spans are in code points, end exclusive. Null and empty texts have none. Whole texts are searched, however long.
 Repeated rows are scanned one by one. Columns of the input that carry the name of a result column give way to it.
@@ -100,7 +101,7 @@ def spans_of(texts: list[str | None], ranks: dict[str, int], least: float) -> li
         if any(h in low for h in HINTS):
             for m in CONTEXT.finditer(t):
                 a, b = m.span(1)
-                if all(b <= x or a >= y for x, y, _ in found) and guess_cost(m[1], ranks) >= least:
+                if not any(x <= a and b <= y for x, y, _ in found) and guess_cost(m[1], ranks) >= least:
                     found.append((a, b, 3))
         out.append(([(KINDS[k], a, b) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))],))
     return out
