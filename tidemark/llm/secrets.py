@@ -3,7 +3,9 @@
 A value after a credential word is cut into dictionary words, dates, repeats, keyboard walks and brute-force spans such
 that the product of their guesses is least (dynamic programming over its characters); one that still costs many
 guesses is reported as kind guess, unless a span of another kind has all of it; where such a span ends inside the
-value, both are reported. Dictionary words are the corpus's most frequent ones, ranked over all texts.
+value, both are reported. Names may go on (SECRET_KEY, token_id) or begin earlier (userpwd), and
+a scheme may stand before the value (Bearer eyJ...); joined by white space only, after a scheme or a dashed name, and where
+the credential word may be the end of another word (compass), values that read as prose are left. Dictionary words are the corpus's most frequent ones, ranked over all texts.
 
 Spans are in code points, end exclusive. Null and empty texts have none. Whole texts are searched, however long.
 Repeated rows are scanned one by one. Columns of the input that carry the name of a result column give way to it.
@@ -25,12 +27,20 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Where a value counts as a credential's: more words and more ways to join them than ASSIGN has.
+#: Where a value counts as a credential's: more words, names and ways to join them than ASSIGN has. A match is the word
+#: alone, what joins it to the value is looked ahead at, so that no context hides another.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_\x20-]?key|(?:access|private)[_\x20-]?key|credentials?|auth(?:orization)?|bearer|login)["']?(?:\s*(?::=|=>|->|[:=])|\s+(?:is|was)\b:?)\s*["']?([^\s"'<>,;]{6,})""",
+    r"""(?P<word>pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_\x20-]?key|(?:access|private)[_\x20-]?key|credentials?|auth(?:orization)?|bearer|basic|login)(?="""
+    r"""(?:(?P<known>(?:[_-]?(?:key|id|value)){0,3})(?P<name>(?:_[A-Za-z0-9]{1,32}){0,4})(?P<dashed>(?:[_-][A-Za-z0-9]{1,32}){0,4})"""
+    r"""["']?(?:\s*(?::=|=>|->|[:=])|\s+(?:is|was)\b:?)\s*["']?(?P<scheme>(?:bearer|basic|token|digest)\s+["']?)?"""
+    r"""|(?:(?<=bearer)|(?<=basic)|(?<=token))(?P<plain>\s+["']?))(?P<end>))""",
     re.I | re.A,
 )
-HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login")
+VALUE = re.compile(r"""[^\s"'<>,;]{6,}""", re.A)
+LEAST_VALUE, LONGEST_PROSE = 6, 200
+HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "basic", "login")
+#: Words that are parts of other words, too.
+PARTS = ("pass", "auth", "bearer", "basic", "login")
 #: log10 of the guesses from which a value counts as a secret.
 LEAST_COST = 10.0
 #: Words in the dictionary: the most frequent of the corpus.
@@ -92,6 +102,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def reads_as_prose(value: str) -> bool:
+    """Whether value is words of ordinary length and case, with what stands around and between words."""
+    if not all(c.isalpha() or c in "-'.:/()[]!?*’…–—“”„" for c in value):
+        return False
+    words = re.findall(r"[^\W\d_]+", value)
+    return all(len(w) <= LONGEST_WORD and (w == w.upper() or w[1:] == w[1:].lower()) for w in words)
+
+
+def context_values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the values in a credential's place, in order. Where the place is less sure, none that reads as prose."""
+    out, last = [], -1
+    for m in CONTEXT.finditer(text):
+        a = m.end("end")
+        if a < last:  # inside the value before, which ends where this one does
+            b = last
+        elif (v := VALUE.match(text, a)) is not None:
+            b = last = v.end()
+        else:
+            continue
+        if b - a < LEAST_VALUE:
+            continue
+        inside = m.start() > 0 and text[m.start() - 1].isascii() and text[m.start() - 1].isalpha() and m["word"].lower() in PARTS
+        unsure = inside or m["plain"] or m["scheme"] or m["dashed"] or m["word"].lower() == "basic"
+        if not (unsure and b - a <= LONGEST_PROSE and reads_as_prose(text[a:b])):
+            out.append((a, b))
+    return sorted(set(out))
+
+
 def spans_of(texts: list[str | None], ranks: dict[str, int], least: float) -> list[tuple]:
     out = []
     for t in texts:
@@ -99,9 +137,8 @@ def spans_of(texts: list[str | None], ranks: dict[str, int], least: float) -> li
         found = base_spans(t)
         low = t.lower()
         if any(h in low for h in HINTS):
-            for m in CONTEXT.finditer(t):
-                a, b = m.span(1)
-                if not any(x <= a and b <= y for x, y, _ in found) and guess_cost(m[1], ranks) >= least:
+            for a, b in context_values(t):
+                if not any(x <= a and b <= y for x, y, _ in found) and guess_cost(t[a:b], ranks) >= least:
                     found.append((a, b, 3))
         out.append(([(KINDS[k], a, b) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))],))
     return out
