@@ -1,6 +1,8 @@
 """What the review of round 2 found left out."""
 
-from tidemark.llm import secrets
+import numpy as np
+
+from tidemark.llm import lm, secrets
 
 
 def found(text):
@@ -29,3 +31,9 @@ def test_credential_contexts(spark):
     df = spark.createDataFrame([(f"Authorization: Bearer {jwt}",)], "text string")
     assert secrets.redact(df, ranks={}).first().text == "Authorization: Bearer [SECRET]"
     assert len(found("token=" * 20_000)) < 3 and len(found("pass_" * 20_000 + "x")) < 3  # time does not grow with the square
+
+
+def test_third_word_back_counts():
+    weights = np.random.default_rng(1).normal(size=(lm.ROWS, lm.WIDTH)).astype(np.float32)
+    a, b = (lm.log_probabilities(weights, np.array([x, 5, 6, 7]), np.array([0]))[3] for x in (3, 4))
+    assert abs(a - b) > 1e-3
