@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.align import op12_token_alignment
 from tidemark.llm.ann import op9_nearest_neighbours
+from tidemark.llm.audit import OP13_SQL, op13_filter_audit
+from tidemark.llm.classifier import op11_quality_classifier
 from tidemark.llm.html_text import op8_html_extraction
 from tidemark.llm.lm import op1_lm_scoring
 from tidemark.llm.near import op6_near_dedup
@@ -28,5 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE: dict[str, str] = {"op3_url_filters": OP3_SQL}
+ORACLE: dict[str, str] = {"op3_url_filters": OP3_SQL, "op13_filter_audit": OP13_SQL}
