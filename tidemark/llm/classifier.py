@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ CALIBRATING = 8
 FEATURES = 2 * DIMS + 3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 0.003, 1e-3
 GOOD = 0.3
+#: Words whose contexts are added up at a time, which a processor's cache holds.
+BLOCK = 4096
 #: Words that a Python worker remembers.
 REMEMBERED = 500_000
 SEED = 11
@@ -57,9 +60,11 @@ def index_vectors(seed: int = SEED) -> np.ndarray:
 
 
 class _Rows(dict):
-    def __missing__(self, word: str) -> int:
-        row = self[word] = zlib.crc32(word.encode()) % ROWS
-        return row
+    """Rows of the words in each run of characters between white space."""
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        rows = self[run] = tuple(zlib.crc32(w.encode()) % ROWS for w in _WORD.findall(run))
+        return rows
 
 
 class Words:
@@ -70,14 +75,15 @@ class Words:
 
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The rows of all words in order, and each text's number of words."""
-        known, out, sizes = self.known, [], []
+        known, out, sizes, n = self.known, [], [], 0
         for t in texts:
-            words = _WORD.findall(t) if t else []
-            sizes.append(len(words))
             if len(known) > REMEMBERED:
                 known.clear()
-            out += map(known.__getitem__, words)
-        return np.array(out, np.int64), np.array(sizes, np.int64)
+            if t:
+                out.extend(chain.from_iterable(map(known.__getitem__, t.split())))
+            sizes.append(len(out) - n)
+            n = len(out)
+        return np.array(out, np.int32), np.array(sizes, np.int64)
 
 
 def contexts(rows: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -88,11 +94,17 @@ def contexts(rows: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarr
     padded = np.full((int(ends[-1]) if len(ends) else 0) + WINDOW * (len(sizes) + 1), ROWS)
     padded[at] = rows
     vectors = index[padded]
-    out = np.zeros((len(rows), DIMS), np.int8)
-    for step in range(1, WINDOW + 1):
-        out += vectors[at - step]
-        out += vectors[at + step]
-    return out
+    n = len(padded) - 2 * WINDOW
+    sums = np.zeros((n, DIMS), np.int8)
+    for step in [*range(WINDOW), *range(WINDOW + 1, 2 * WINDOW + 1)]:
+        sums += vectors[step : step + n]
+    return sums[at - WINDOW]
+
+
+def _order(rows: np.ndarray) -> np.ndarray:
+    """A stable order of row numbers: by their low 16 bits, then by the rest; numpy sorts such short numbers by their digits."""
+    low = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
+    return low[np.argsort((rows >> 16).astype(np.uint16)[low], kind="stable")]
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -118,12 +130,14 @@ def word_table(texts: DataFrame) -> DataFrame:
             if int(counts.max()) > 1 << 28:  # 32 bits hold four contexts of each
                 yield from _table_batches(counts, table)
                 table[:], counts[:] = 0, 0
-            order = np.argsort(rows, kind="stable")
-            ranked = rows[order]
-            starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-            found = ranked[starts]
-            table[found] += np.add.reduceat(contexts(rows, sizes, index)[order], starts, axis=0, dtype=np.int32)
-            counts[found] += np.diff(np.r_[starts, len(ranked)])
+            order, around = _order(rows), contexts(rows, sizes, index)
+            for at in range(0, len(order), BLOCK):
+                part = order[at : at + BLOCK]
+                ranked = rows[part]
+                starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+                found = ranked[starts]
+                table[found] += np.add.reduceat(around[part].astype(np.int32), starts, axis=0)
+                counts[found] += np.diff(np.r_[starts, len(ranked)])
         yield from _table_batches(counts, table)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,20 +194,18 @@ def pooled(vectors: np.ndarray, index: np.ndarray, rows: np.ndarray, sizes: np.n
     """For each text the mean of its words' vectors, their spread in each dimension, the mean's length, and how well words
     fit into their places: by their vectors, and by their own index vectors (words beside themselves)."""
     out = np.zeros((len(sizes), FEATURES), np.float32)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        starts = (np.cumsum(sizes) - sizes)[full]
-        v = vectors[rows].astype(np.int32)
-        n = sizes[full, None] * 127.0
-        mean = np.add.reduceat(v, starts, axis=0, dtype=np.int64) / n
-        square = np.add.reduceat(v * v, starts, axis=0, dtype=np.int64) / (n * 127.0)
-        out[full, :DIMS] = mean
-        out[full, DIMS : 2 * DIMS] = np.sqrt(np.maximum(square - mean * mean, 0))
-        out[full, 2 * DIMS] = np.sqrt((mean * mean).sum(axis=1))
-        around = contexts(rows, sizes, index)
-        for k, own in enumerate((v, index[rows])):
-            fits = np.einsum("ij,ij->i", own, around, dtype=np.int64)
-            out[full, 2 * DIMS + 1 + k] = np.add.reduceat(fits, starts) / n[:, 0]
+    around, ends = contexts(rows, sizes, index), np.cumsum(sizes)
+    for k in np.flatnonzero(sizes):  # text by text, so that a text's vectors stay in the cache
+        part = slice(ends[k] - sizes[k], ends[k])
+        mine, near = rows[part], around[part].astype(np.float32)
+        n = np.float32(127 * sizes[k])
+        v = vectors[mine].astype(np.float32)
+        mean = v.sum(axis=0) / n
+        out[k, :DIMS] = mean
+        out[k, DIMS : 2 * DIMS] = np.sqrt(np.maximum(np.einsum("ij,ij->j", v, v) / (n * np.float32(127)) - mean * mean, 0))
+        out[k, 2 * DIMS] = np.sqrt((mean * mean).sum())
+        out[k, 2 * DIMS + 1] = np.vdot(v, near) / n
+        out[k, 2 * DIMS + 2] = np.vdot(index[mine].astype(np.float32), near) / n
     return out
 
 
