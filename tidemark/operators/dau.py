@@ -21,7 +21,7 @@ def dedup_daily(pages: DataFrame, arrival: list[str] | None = None) -> DataFrame
     """The earliest page per device and local day (batch form).
 
     ``arrival`` breaks ties of ``ts``. The streaming form is
-    :func:`tidemark.streaming.dedup.dedup_daily_stream`.
+    :func:`tidemark.streaming.state.first_of_each_day`.
     """
     dated = pages.withColumn("_day", local_date(F.col("ts")))
     return first_per_key(dated, ["mid", "_day"], ["ts", *(arrival or [])]).drop("_day")

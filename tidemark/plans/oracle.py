@@ -265,6 +265,7 @@ ORDERS = {
     "order_enriched": _with(HEADER, USER, PROVINCE, _enriched_headers()) + "SELECT * FROM enriched",
     "order_wide": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + _WIDE,
     "order_wide_stream": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + _WIDE,
+    "order_wide_repeated_stream": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + _WIDE,
     "order_wide_resent_stream": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + f"""
 SELECT * REPLACE (CASE WHEN order_id % 3 = 0 THEN 'R' ELSE order_status END AS order_status) FROM ({_WIDE})""",
     "cdc_order_wide": _with(HEADER, LINE, _CDC_USER, PROVINCE, _enriched_headers("h." + _INSERTED)) + _WIDE,
@@ -279,4 +280,6 @@ SELECT l.id, l.order_id, l.sku_id, l.order_price FROM lines l
 WHERE NOT EXISTS (SELECT 1 FROM headers h WHERE h.id = l.order_id AND h.{_INSERTED})""",
 }
 
+ORDERS["order_waiting_stream"] = ORDERS["order_waiting_lines"]
+
 ORACLE = {**LOG, **CHANGES, **DAU, **ORDERS}

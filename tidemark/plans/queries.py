@@ -23,7 +23,7 @@ from tidemark.plans import pipelines as pl
 from tidemark.sources import star
 from tidemark.sources import tables as tb
 from tidemark.sources.topics import FileTopics
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, state
 
 AS_OF = star.AS_OF
 # A day in the middle of the events, and a later "today", whose yesterday the report shows too.
@@ -362,7 +362,7 @@ def dau_stream(spark, sf_dir):
     return documents.select("index_date", "mid", "dt", "user_id", "province_id", "user_gender", "province_name")
 
 
-def _order_stream(spark, sf_dir, resent: bool):
+def _order_stream(spark, sf_dir, resent: bool = False, repeated: bool = False):
     """Enrichment and join jobs; headers and lines come in opposite halves, so that most pairs meet
     across batches, in both orders."""
     session = _session(spark)
@@ -377,9 +377,12 @@ def _order_stream(spark, sf_dir, resent: bool):
         again = [_with_status(h, RESENT) for h in headers]
         sent[1].append((again[0], "again"))  # before half of the lines' batch is joined
         sent.append([(again[1], "again")])  # after all of them
+    if repeated:
+        for n in (0, 1):
+            sent[1 - n].append((lines[n].where(F.get_json_object("value", "$.id").cast("bigint") % 3 == 0), "repeated_lines"))
     for n, parts in enumerate(sent):
         for rows, producer in parts:
-            topic = s.ORDER_DETAIL_TOPIC if producer == "lines" else s.ORDER_INFO_TOPIC
+            topic = s.ORDER_DETAIL_TOPIC if producer.endswith("lines") else s.ORDER_INFO_TOPIC
             topics.write(_messages(rows, topic), producer, n)
         _run(
             jobs.order_enrich_job(
@@ -405,7 +408,7 @@ def _with_status(headers: DataFrame, status: str) -> DataFrame:
 
 
 def order_wide_stream(spark, sf_dir):
-    return _order_stream(spark, sf_dir, resent=False)
+    return _order_stream(spark, sf_dir)
 
 
 def order_wide_resent_stream(spark, sf_dir):
@@ -413,6 +416,26 @@ def order_wide_resent_stream(spark, sf_dir):
     return _order_stream(spark, sf_dir, resent=True)
 
 
+def order_wide_repeated_stream(spark, sf_dir):
+    """Every third line is sent again, in a file of its own before its header or after: it is one line all the same."""
+    return _order_stream(spark, sf_dir, repeated=True)
+
+
+def order_waiting_stream(spark, sf_dir):
+    """Change log to order topics to the join; the lines that still wait are then read from its checkpoint."""
+    session = _session(spark)
+    root = scratch_folder(spark)
+    topics = FileTopics(f"{root}/topics")
+    dims, index = tb.dim_store(root), tb.order_index(root)
+    star.fact_tables(session).write.json(f"{root}/fact_tables")
+    for n, half in enumerate(_halves(star.change_lines(session, sf_dir))):
+        topics.write(_messages(half, s.CHANGE_TOPIC), "database", n)
+        _run(jobs.change_router_job(session, topics, dims, f"{root}/fact_tables", f"{root}/cp/changes", jobs.WHAT_IS_THERE))
+        _run(jobs.order_enrich_job(session, topics, dims, f"{root}/cp/enrich", jobs.WHAT_IS_THERE, as_of=AS_OF))
+        _run(jobs.order_wide_job(session, topics, index, f"{root}/cp/wide", jobs.WHAT_IS_THERE, as_of=AS_OF))
+    return state.waiting_lines(session, f"{root}/cp/wide").select("id", "order_id", "sku_id", "order_price")
+
+
 def dim_stream(spark, sf_dir):
     """The change router job, a row's changes coming in separate files; the store read back."""
     session = _session(spark)
@@ -444,6 +467,6 @@ QUERIES = {
         order_enriched, order_wide, order_unmatched, cdc_order_wide, order_pairs,
         order_waiting_lines,
         docs_patched, docs_deleted, docs_by_id,
-        dau_stream, order_wide_stream, order_wide_resent_stream, dim_stream,
+        dau_stream, order_wide_stream, order_wide_resent_stream, order_wide_repeated_stream, order_waiting_stream, dim_stream,
     )
 }

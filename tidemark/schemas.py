@@ -42,11 +42,12 @@ ORDER_DETAIL_TOPIC = "DWD_ORDER_DETAIL_I"
 FACT_TOPIC_PREFIX = "DWD"
 DIM_KEY_PREFIX = "DIM"
 
-# Topics of this library's own: rejected input, and order headers after enrichment.
+# Topics of this library's own: rejected input, order lines that no header came for, and order headers after enrichment.
 REJECTED_LOG_TOPIC = "ODS_BASE_LOG_REJECTED"
 REJECTED_CHANGE_TOPIC = "TOPIC_DB_REJECTED"
 REJECTED_PAGE_TOPIC = "DWD_PAGE_REJECTED"
 REJECTED_ORDER_TOPIC = "DWD_ORDER_REJECTED"
+EXPIRED_LINE_TOPIC = "DWD_ORDER_DETAIL_EXPIRED"
 ENRICHED_ORDER_TOPIC = "DWD_ORDER_INFO_ENRICHED"
 
 # ---- fixed values: result tables --------------------------------------------------------------
