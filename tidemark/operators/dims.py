@@ -31,6 +31,20 @@ def province_dim(dims: DataFrame) -> DataFrame:
     return _dim_rows(dims, PROVINCE_TABLE, PROVINCE_DIM)
 
 
+def user_versions(changes: DataFrame, seq: str) -> DataFrame:
+    """Every version of every user out of dimension changes, with the arrival column ``seq``."""
+    return _versions(changes, USER_TABLE, USER_DIM, seq)
+
+
+def province_versions(changes: DataFrame, seq: str) -> DataFrame:
+    return _versions(changes, PROVINCE_TABLE, PROVINCE_DIM, seq)
+
+
+def _versions(changes: DataFrame, table_name: str, schema, seq: str) -> DataFrame:
+    rows = changes.where(F.col("dim_table") == table_name.upper())
+    return bind_topic(rows.select(seq, F.col("data").alias("value")), schema)
+
+
 def _look_up(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     # Dimension ids are text; a numeric key is turned into text, never the id into a number.
     keyed = dim.withColumnRenamed("id", "_dim_id")

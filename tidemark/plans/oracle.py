@@ -259,6 +259,17 @@ SELECT l.id AS detail_id, l.order_id, l.sku_id, l.order_price, l.sku_num, l.sku_
        h.* EXCLUDE (id, create_time), l.create_time
 FROM lines l JOIN enriched h ON l.order_id = h.id"""
 
+# Headers by the user and province of their arrival: even orders come after all updates, odd ones among the first loads.
+_AS_OF = f"""
+enriched AS (
+  SELECT h.*, substr(h.create_time, 1, 10) AS create_date, substr(h.create_time, 12, 2) AS create_hour,
+         p.name AS province_name, p.area_code AS province_area_code, p.iso_3166_2 AS province_3166_2_code,
+         p.iso_code AS province_iso_code, CAST({_age("u.birthday")} AS INTEGER) AS user_age, u.gender AS user_gender
+  FROM headers h LEFT JOIN provinces p ON h.province_id = CAST(p.id AS BIGINT) AND (h.id % 2 = 0 OR h.province_id <= h.id)
+       LEFT JOIN (SELECT *, FALSE AS late FROM users_loaded UNION ALL SELECT *, TRUE AS late FROM users) u
+         ON h.user_id = CAST(u.id AS BIGINT) AND u.late = (h.id % 2 = 0) AND (h.id % 2 = 0 OR h.user_id <= h.id)
+  WHERE h.id % 5 < 3)"""
+
 _INSERTED = "id % 5 < 3"
 
 ORDERS = {
@@ -269,6 +280,7 @@ ORDERS = {
     "order_wide_resent_stream": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + f"""
 SELECT * REPLACE (CASE WHEN order_id % 3 = 0 THEN 'R' ELSE order_status END AS order_status) FROM ({_WIDE})""",
     "cdc_order_wide": _with(HEADER, LINE, _CDC_USER, PROVINCE, _enriched_headers("h." + _INSERTED)) + _WIDE,
+    "cdc_order_wide_as_of": _with(HEADER, LINE, USER.replace("users AS", "users_loaded AS"), _CDC_USER, PROVINCE, _AS_OF) + _WIDE,
     "order_unmatched": _with(HEADER) + """
 SELECT id, user_id, create_time FROM headers h
 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = h.id)""",

@@ -19,6 +19,8 @@ from tidemark.operators import documents as docs
 from tidemark.operators import logs
 from tidemark.operators import orders as od
 from tidemark.operators import report
+from tidemark.operators.as_of import range_starts
+from tidemark.operators.dims import province_versions, user_versions
 from tidemark.plans import pipelines as pl
 from tidemark.sources import star
 from tidemark.sources import tables as tb
@@ -224,6 +226,18 @@ def cdc_order_wide(spark, sf_dir):
     return od.join_orders(enriched, lines)
 
 
+def cdc_order_wide_as_of(spark, sf_dir):
+    """Change log to wide rows, each header with the dimension rows that were current when it arrived."""
+    lines, facts = star.change_lines(_utc(spark), sf_dir, orders_among_updates=True), star.fact_tables(spark)
+    starts = range_starts(lines, "seq")
+    changes = ch.row_changes(ch.parse_changes(lines))
+    messages = ch.fact_messages(changes, facts)
+    of_dims = ch.dim_changes(changes, facts)
+    headers = pl.bound_headers(messages.where(F.col("topic") == s.ORDER_INFO_TOPIC).select("seq", "value"))
+    enriched = od.enrich_orders_as_of(headers, user_versions(of_dims, "seq"), province_versions(of_dims, "seq"), "seq", starts, AS_OF)
+    return od.join_orders(enriched, pl.bound_lines(pl.on_topic(messages, s.ORDER_DETAIL_TOPIC)))
+
+
 def order_pairs(spark, sf_dir):
     """Full outer pairing of inserted headers and lines."""
     pairs = od.pair_orders(*_facts_inserted(spark, sf_dir))
@@ -464,7 +478,7 @@ QUERIES = {
         cdc_fact_counts, dim_latest, dim_latest_deletes,
         first_pages, dau_dedup, dau_enriched, dau_index,
         dau_total, dau_by_hour, dau_by_hour_each_day, dau_realtime, index_report, index_edited,
-        order_enriched, order_wide, order_unmatched, cdc_order_wide, order_pairs,
+        order_enriched, order_wide, order_unmatched, cdc_order_wide, cdc_order_wide_as_of, order_pairs,
         order_waiting_lines,
         docs_patched, docs_deleted, docs_by_id,
         dau_stream, order_wide_stream, order_wide_resent_stream, order_wide_repeated_stream, order_waiting_stream, dim_stream,

@@ -260,12 +260,13 @@ def _change(change_type: Column, table_name: str, data: list[Column], seq: Colum
     return [seq.alias("seq"), F.to_json(line).alias("value")]
 
 
-def change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def change_lines(spark: SparkSession, sf_dir: str, orders_among_updates: bool = False) -> DataFrame:
     """``(seq, value)``: the change log of four tables; ``seq`` is the arrival order of a row's
     changes.
 
     Customers are loaded, then every third is updated and every seventh deleted. Orders are
     inserted, updated or deleted by key. Each table also has a line that carries no row.
+    ``orders_among_updates``: every second order comes after the updates of customers.
     """
     custkey, nationkey, orderkey = F.col("c_custkey"), F.col("n_nationkey"), F.col("o_orderkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey")
@@ -287,6 +288,9 @@ def change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(_mod(orderkey, 5) == 3, "update")
         .otherwise("delete")
     )
+    order_seq = orderkey
+    if orders_among_updates:
+        order_seq = orderkey + F.when(_mod(orderkey, 2) == 0, SEQ_STEP + SEQ_STEP // 2).otherwise(0)
     latest = F.when(_mod(custkey, 3) == 0, F.struct(*updated)).otherwise(F.struct(*loaded))
     changes = [
         customers.select(*_change(F.lit("bootstrap-insert"), s.USER_TABLE, loaded, custkey)),
@@ -309,7 +313,7 @@ def change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 nationkey.cast("bigint"),
             )
         ),
-        orders.select(*_change(order_type, "order_info", _order_columns(F.col("c_nationkey")), orderkey)),
+        orders.select(*_change(order_type, "order_info", _order_columns(F.col("c_nationkey")), order_seq)),
         lines.select(
             *_change(F.lit("insert"), "order_detail", _detail_columns(), F.col("l_orderkey"))
         ),
