@@ -276,6 +276,7 @@ ORDERS = {
     "order_enriched": _with(HEADER, USER, PROVINCE, _enriched_headers()) + "SELECT * FROM enriched",
     "order_wide": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + _WIDE,
     "order_wide_stream": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + _WIDE,
+    "order_wide_interval_stream": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + _WIDE,
     "order_wide_repeated_stream": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + _WIDE,
     "order_wide_resent_stream": _with(HEADER, LINE, USER, PROVINCE, _enriched_headers()) + f"""
 SELECT * REPLACE (CASE WHEN order_id % 3 = 0 THEN 'R' ELSE order_status END AS order_status) FROM ({_WIDE})""",

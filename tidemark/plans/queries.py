@@ -435,6 +435,25 @@ def order_wide_repeated_stream(spark, sf_dir):
     return _order_stream(spark, sf_dir, repeated=True)
 
 
+def order_wide_interval_stream(spark, sf_dir):
+    """The join as a stream-stream join on arrival; headers and lines come in opposite halves."""
+    session = _session(spark)
+    root = scratch_folder(spark)
+    topics = FileTopics(f"{root}/topics")
+    dims, index = tb.dim_store(root), tb.order_index(root)
+    _fill_dims(session, sf_dir, root)
+    headers = _halves(star.order_header_lines(session, sf_dir))
+    lines = _halves(star.order_detail_lines(session, sf_dir))
+    for n in (0, 1):
+        topics.write(_messages(headers[n], s.ORDER_INFO_TOPIC), "headers", n)
+        topics.write(_messages(lines[1 - n], s.ORDER_DETAIL_TOPIC), "lines", n)
+        _run(jobs.order_enrich_job(session, topics, dims, f"{root}/cp/enrich", jobs.WHAT_IS_THERE, as_of=AS_OF))
+        for topic in (s.ENRICHED_ORDER_TOPIC, s.ORDER_DETAIL_TOPIC):
+            _run(jobs.on_time_job(session, topics, topic, f"{root}/marks/{topic}", f"{root}/cp/{topic}", jobs.WHAT_IS_THERE))
+        _run(jobs.order_wide_interval_job(session, topics, index, f"{root}/cp/wide", jobs.WHAT_IS_THERE, as_of=AS_OF))
+    return index.read(spark).drop("index_date")
+
+
 def order_waiting_stream(spark, sf_dir):
     """Change log to order topics to the join; the lines that still wait are then read from its checkpoint."""
     session = _session(spark)
@@ -481,6 +500,7 @@ QUERIES = {
         order_enriched, order_wide, order_unmatched, cdc_order_wide, cdc_order_wide_as_of, order_pairs,
         order_waiting_lines,
         docs_patched, docs_deleted, docs_by_id,
-        dau_stream, order_wide_stream, order_wide_resent_stream, order_wide_repeated_stream, order_waiting_stream, dim_stream,
+        dau_stream, order_wide_stream, order_wide_resent_stream, order_wide_repeated_stream,
+        order_wide_interval_stream, order_waiting_stream, dim_stream,
     )
 }

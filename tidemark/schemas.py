@@ -47,6 +47,7 @@ REJECTED_LOG_TOPIC = "ODS_BASE_LOG_REJECTED"
 REJECTED_CHANGE_TOPIC = "TOPIC_DB_REJECTED"
 REJECTED_PAGE_TOPIC = "DWD_PAGE_REJECTED"
 REJECTED_ORDER_TOPIC = "DWD_ORDER_REJECTED"
+LATE_ORDER_TOPIC = "DWD_ORDER_LATE"
 EXPIRED_LINE_TOPIC = "DWD_ORDER_DETAIL_EXPIRED"
 ENRICHED_ORDER_TOPIC = "DWD_ORDER_INFO_ENRICHED"
 
