@@ -1,0 +1,44 @@
+"""Guess costs against all segmentations."""
+
+import math
+import random
+
+import pytest
+
+from tidemark.llm import secrets
+
+rng = random.Random(5)
+RANKS = {"grass": 40, "power": 15, "pass": 3, "aaa": 7, "qwe": 9, "boss": 30}
+
+
+def least(value):
+    """The least cost over all cuts into spans of all kinds, each of any length its kind allows."""
+    n, low = len(value), value.lower()
+    best = [0.0] + [math.inf] * n
+    for j in range(n):
+        for i in range(j + 1, n + 1):
+            part, whole = low[j:i], value[j:i]
+            size = [math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in whole]
+            costs = [sum(size)]
+            if len(part) > 2 and part in RANKS:
+                costs.append(math.log10(RANKS[part] + 1) + (math.log10(2) if whole != part else 0))
+            if len(part) > 2 and len(set(part)) == 1:
+                costs.append(size[-1] + math.log10(len(part)))
+            if len(part) > 3 and all(any(a + b in r or b + a in r for r in secrets.ROWS) for a, b in zip(part, part[1:])):
+                costs.append(math.log10(80 * len(part)))
+            if (m := secrets.DATE.match(low, j)) and m.end() == i:
+                costs.append(math.log10(365 * 120))
+            best[i] = min(best[i], best[j] + min(costs) + math.log10(2))
+    return best[n]
+
+
+@pytest.mark.parametrize("value", ["grassssssss", "grasssssss9k", "powerertyuiopX", "a" * 60, "boss" + "s" * 40 + "x", "qwe" + "rtyuiop" * 4, "2000000", "İstanbul" * 2])
+def test_known_values(value):
+    assert abs(secrets.guess_cost(value, RANKS) - least(value)) < 1e-9
+
+
+def test_random_values():
+    parts = ["s", "ss", "sss", "a", "aaaa", "grass", "power", "pass", "BOSS", "qwer", "rewq", "uiop", "1", "111", "2000", "20190403", "2019-04-03", "#", "x", "Q", "1234", "asdf"]
+    for _ in range(3000):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))
+        assert abs(secrets.guess_cost(value, RANKS) - least(value)) < 1e-9, value

@@ -59,9 +59,14 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     """log10 of the least product of guesses over all cuts of value into known kinds of spans.
 
     A word costs its rank (twice that with a capital), a date 365 times 120 years, a repeat its character times its
-    length, a walk its start times its length and turns, any other character its alphabet. Each span doubles the total.
+    length, a walk 40 starts times two ways times its length, any other character its alphabet. Each span doubles the
+    total. Repeats have three characters or more, walks four.
+
+    Nothing but a word or a date is worth ending inside a repeat or a walk: one more character adds at most log10(4/3)
+    to its cost, and ten or more times that to a brute-force span; two of a kind cost less as one; and a repeat and a
+    walk share at most a character. So a repeat or walk starts within LONGEST_WORD characters of where it could first.
     """
-    n, low = len(value), value.lower()
+    n, low = len(value), "".join(x if len(x := c.lower()) == 1 else c for c in value)
     best = [0.0] + [math.inf] * n
     brute = [math.inf] * (n + 1)  # the last span is a brute-force one
     run = walk = 1
@@ -77,9 +82,9 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
         run = run + 1 if i > 1 and low[i - 1] == low[i - 2] else 1
         walk = walk + 1 if i > 1 and low[i - 2 : i] in _NEXT_KEYS else 1
         if run >= 3:
-            cost = min(cost, min(best[i - k] + letters + math.log10(k) for k in {3, run}) + _SEGMENT)
+            cost = min(cost, min(best[i - k] + math.log10(k) for k in range(max(3, run - LONGEST_WORD), run + 1)) + letters + _SEGMENT)
         if walk >= 4:
-            cost = min(cost, min(best[i - k] + math.log10(40 * 2 * k) for k in {4, walk}) + _SEGMENT)
+            cost = min(cost, min(best[i - k] + math.log10(40 * 2 * k) for k in range(max(4, walk - LONGEST_WORD), walk + 1)) + _SEGMENT)
         for j in range(max(0, i - LONGEST_WORD), i - 2):
             if (rank := ranks.get(low[j:i])) is not None:
                 cost = min(cost, best[j] + math.log10(rank + 1) + (_SEGMENT if value[j:i] != low[j:i] else 0) + _SEGMENT)
