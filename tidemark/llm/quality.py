@@ -7,7 +7,8 @@ probability that a text is good replaces an all-must-pass filter.
 Two passes over the texts: one counts patterns (at most 3^rules rows, whatever the corpus), one judges. Nothing but
 pattern counts leaves the executors.
 
-Null texts have no words; empty and null texts fail the base rule. Repeated rows are judged alike, one by one. An
+Measures are shares, so that a text of any length is judged by the same rules; distinct words are counted in stretches
+of DISTINCT_IN words, over all of the text, and added up. Null texts have no words; empty and null texts fail the base rule. Repeated rows are judged alike, one by one. An
 empty table gives an empty result. Columns of the input that carry the name of a result column give way to it.
 """
 
@@ -45,6 +46,8 @@ RULES = (
 )
 SIGNALS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, votes int"
 WINDOW = 8
+#: Words of a stretch in which distinct ones are counted, so that the measure means the same in texts of any length.
+DISTINCT_IN = 200
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _NOT_CAPITALS = bytes(c for c in range(256) if not 65 <= c <= 90)
@@ -103,7 +106,7 @@ def signals(texts: list[str | None]) -> list[tuple]:
             letters = len(r.translate(None, _NOT_LETTERS))
             ends = sum(x.rstrip(WHITE)[-1] in ".!?\"'”»)" and x.rstrip(WHITE)[-2:] != "!!" for x in lines)
             measures = (n, chars / n, symbols / n, dups / len(lines), rep / n, letters / solid, len(r.translate(None, _NOT_CAPITALS)) / max(letters, 1),
-                        sum(map(STOP_WORDS.__contains__, ws)) / n, len(set(ws)) / n if n < 2000 else 1.0 if len(set(ws)) > 300 else 0.0, ends / len(lines))
+                        sum(map(STOP_WORDS.__contains__, ws)) / n, sum(len(set(ws[i : i + DISTINCT_IN])) for i in range(0, n, DISTINCT_IN)) / n, ends / len(lines))
         else:
             measures = (0,) * len(RULES)
         votes = 0
