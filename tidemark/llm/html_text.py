@@ -84,14 +84,29 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
     """The root, all nodes in page order, and the article's candidate texts: (node, text). A text's node order tells blocks apart."""
     root = Node("html", None, False, 0)
     nodes, texts, stack = [root], [], [root]
-    at, n, low = 0, len(page), None
+    at, n = 0, len(page)
+    opened: dict[str, list[int]] = {}  # places in the stack of the open elements of a name
+    blocks: list[int] = []
 
     def text(a: int, b: int) -> None:
         node = stack[-1]
         if b > a and not node.out:
             texts.append((node, page[a:b]))
 
+    def push(node: Node) -> None:
+        opened.setdefault(node.tag, []).append(len(stack))
+        if node.tag in BLOCKS:
+            blocks.append(len(stack))
+        stack.append(node)
+
+    def innermost(tags: set[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def pop_to(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag].pop()
+            if node.tag in BLOCKS:
+                blocks.pop()
         del stack[k:]
         texts.append((stack[-1], ""))  # a boundary; blank for inline ones
 
@@ -112,29 +127,20 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
             continue
         tag = tag.lower()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
+            if k := innermost({tag}):
+                pop_to(k)
             continue
         if tag in ("html", "body") and any(s.tag == tag for s in (root, *stack[1:2])):
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop_to(k)
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
+        if tag in CLOSES_P and blocks and stack[blocks[-1]].tag == "p":
+            pop_to(blocks[-1])
         if tag in ENDS:
             ended, limits = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in limits:
+            limit = innermost(limits)
+            while (k := innermost(ended)) > limit:
+                pop_to(k)
+                if tag != "tr":
                     break
-                if stack[k].tag in ended:
-                    pop_to(k)
-                    if tag != "tr":
-                        break
         parent = stack[-1]
         node = Node(tag, parent, parent.out or _not_article(tag, attributes), len(nodes))
         nodes.append(node)
@@ -143,14 +149,13 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
         if tag in VOID:
             continue
         if tag in RAW:
-            low = page.lower() if low is None and page.isascii() else low
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else n
-            stack.append(node)
+            push(node)
             continue
         if attributes.rstrip().endswith("/") and tag in ("svg", "path"):
             continue
-        stack.append(node)
+        push(node)
     return root, nodes, texts
 
 
