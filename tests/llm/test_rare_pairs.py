@@ -1,0 +1,49 @@
+"""Pairs by rarest k-mers: none is lost, and a passage that many texts share makes none."""
+
+import random
+from itertools import combinations
+
+import pytest
+
+from tidemark.llm import near
+
+rng = random.Random(8)
+
+
+def words(n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def pairs(spark, rows):
+    got = near.rare_pairs(spark.createDataFrame(rows, "node bigint, text string, label bigint"), near.SIMILARITY).collect()
+    assert len({(r.a, r.b) for r in got}) == len(got) and all(r.a < r.b for r in got)
+    return {(r.a, r.b) for r in got}
+
+
+def test_all_that_share_enough_are_found(spark):
+    made = []
+    for size in (5, 8, 12, 30, 60, 120, 300):
+        base = words(size)
+        for _ in range(12):
+            text = base[rng.randint(0, size // 25) : size - rng.randint(0, size // 25)]
+            for _ in range(rng.randint(0, size // 60 + 1)):
+                text[rng.randrange(len(text))] = words(1)[0]
+            made.append(" ".join(text + words(rng.randint(0, size // 20))))
+    rows = [(i, t, rng.choice([i, 1000 + i % 3])) for i, t in enumerate(made)]
+    got = pairs(spark, rows)
+    sets = [set(near.labelled(near.kmers(near._split(t), {})).tolist()) for t in made]
+    alike = {(i, j) for i, j in combinations(range(len(made)), 2) if rows[i][2] != rows[j][2] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(alike) > 50 and alike <= got
+
+
+@pytest.mark.parametrize("own", [16, 24, 60])
+def test_a_shared_passage_makes_no_pairs(spark, own):
+    passage = words(100)
+    rows = [(i, " ".join(passage + words(own)), i) for i in range(300)]
+    assert pairs(spark, rows) == set()
+
+
+def test_members_of_one_class_make_no_pairs(spark):
+    base = words(100)
+    rows = [(i, " ".join([*base[:50], f"x{i}", *base[50:]]), -1) for i in range(200)] + [(500, " ".join(base), -2)]
+    assert pairs(spark, rows) == {(i, 500) for i in range(200)}

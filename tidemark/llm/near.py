@@ -255,8 +255,10 @@ def link_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
 def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
     """All pairs (a, b) of texts (node, text, label) of different labels that may share least of their labelled k-mers.
 
-    Two texts that do have one in common among the rarest of either, of which so many are left as may be without match;
-    what very many texts share is not among the rarest of those that have their own besides.
+    Two texts that do have one in common among the rarest of either, of which so many count as may be without match: of
+    the smaller text fewer than of the larger one, as a larger one may have more of its own. What is left of both
+    texts behind that k-mer, in order of rarity, must also suffice. So texts whose own k-mers are too many to reach the
+    similarity with a text of their size or more make no row on that side, however many share a passage with them.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,12 +273,24 @@ def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
     common = written(rows.groupBy("kmer").agg(F.count("*").alias("texts")).where("texts > 1"), "common")
     # k-mers of one text only match nothing, and are its rarest: they need no rows but their number
     shared = rows.join(common, "kmer")
-    rest = W.partitionBy("node").orderBy("texts", "kmer")
-    kept = F.col("size") - F.ceil(F.col("size") * least) + 1 - (F.col("size") - F.count("*").over(W.partitionBy("node")))
-    first = written(shared.withColumn("kept", kept).withColumn("place", F.row_number().over(rest)).where("place <= kept").select("node", "label", "size", "kmer"), "rare")
-    other = first.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), F.col("kmer").alias("kmer_b"))
-    near = (F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b"))
-    return first.join(other, (F.col("kmer") == F.col("kmer_b")) & near).select(F.col("node").alias("a"), "b").distinct()
+    order = W.partitionBy("node").orderBy("texts", "kmer")
+    place = F.row_number().over(order) + F.col("size") - F.count("*").over(W.partitionBy("node"))
+    share = least / (1 + least)  # of both sizes, that must be shared
+    up = lambda x: F.ceil(x - 1e-9)
+    first = shared.withColumn("place", place).where(F.col("place") <= F.col("size") - up(F.col("size") * least) + 1)
+    first = written(first.select("node", "label", "size", "kmer", "place"), "rare")
+    # a k-mer's members of its largest class meet its others only, not each other
+    counts = first.groupBy("kmer", "label").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("kmer").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
+    met = first.join(largest, "kmer").withColumn("most", F.col("label") == F.col("largest")).drop("largest", "classes")
+    met = written(met, "met")
+    small = met.where(F.col("place") <= F.col("size") - up(F.col("size") * 2 * share) + 1)
+    large = met.withColumnsRenamed({"node": "b", "label": "label_b", "size": "size_b", "kmer": "kmer_b", "place": "place_b", "most": "most_b"})
+    sizes = (F.struct("size", "node") < F.struct("size_b", "b")) & (F.col("size") >= F.col("size_b") * least - 1e-9)
+    left = 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    near = (F.col("kmer") == F.col("kmer_b")) & (F.col("label") != F.col("label_b")) & sizes & (left >= up((F.col("size") + F.col("size_b")) * share))
+    pairs = small.where("NOT most").join(large, near).union(small.where("most").join(large.where("NOT most_b"), near))
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
