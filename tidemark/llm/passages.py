@@ -1,24 +1,32 @@
-"""Substring dedup by hashing lines, sentence by sentence.
+"""Substring dedup by hashing lines and parts of lines.
 
-Texts are cut into units: lines, and in them sentences, as a passage may stand inside a line. Units are normalised
-(lower case, one space between words) and hashed; the digests are grouped over the whole corpus, and the occurrence that
-ranks first by document id, text and offset is kept. Runs of neighbouring units that all occurred before are removed
-if they have least_words words or more together, so that short phrases that many texts happen to share stay. What was
-removed is reported by offsets in the original text.
+Texts are cut into units: lines, and in them parts that end after a sentence's last word or after a word that its own hash
+picks, so that cuts depend on the words near them only and a passage is cut alike wherever it stands. Units are
+normalised (lower case, one space between words) and hashed; the digests are grouped over the whole corpus, and the
+occurrence that ranks first by document id, text and offset is kept. Runs of neighbouring units that all occurred before
+are extended word by word into the units beside them, as far as these agree with the words beside the kept
+occurrence. Extended runs of least_words words or more are removed, so that short phrases that many texts happen
+to share stay; so are whole lines of least_line words or more that were a whole line before. What was removed is
+reported by offsets in the original text.
+
+Every removed word has an equal one at a place that ranks before its own, and of the places that are equal the first stays.
 
 Documents are told apart by id and text; equal rows are one document here, and are treated alike. Null texts count as
-empty and have no units. Every row takes part, however common a unit is: a digest's first place is a minimum that is
-computed before the shuffle already, and the join back on it can be split.
+empty and have no units; null ids rank first. Every row takes part, however common a unit is: a digest's first place is a
+minimum that is computed before the shuffle already, and the join back on it can be split. Texts of any length are read
+whole, one at a time; an empty table gives no rows. Columns of docs other than id and text play no part in what is
+found, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -26,70 +34,233 @@ from pyspark.sql import Window as W
 from tidemark.llm.shared import per_text, slices, small_batches, written
 
 LEAST_WORDS = 25
-#: A unit: a sentence that ends with . ! or ? before white space, or what is left of its line.
-UNIT = re.compile(r"[^\s](?:[^\n]*?[.!?](?=\s)|[^\n]*)")
+#: Words of the shortest line that goes for being repeated as a whole. Shorter ones stay unless asked for: a third of all
+#: documents hold one, a notice or a common phrase, that nobody copied them for.
+LEAST_LINE = LEAST_WORDS
+#: One of so many different words ends a part of a line.
+CUT = 24
+#: Units at either end of a run among which the one of most words says where the run is kept.
+ANCHORS = 3
+_WORD = re.compile(r"\S+|\n")
+_NAMES = ("at", "word", "start", "end", "words", "before", "after", "digest")
 
 
+def _digest(words: list[str], seed: int) -> int:
+    d = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), seed)
+    return d - (1 << 64) if d >> 63 else d
 
-def units_of(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of each unit, in order. The digest is a signed 64-bit number."""
-    out = []
-    for m in UNIT.finditer(text):
-        words = m[0].lower().split()
-        d = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-        out.append((m.start(), m.end(), len(words), d - (1 << 64) if d >> 63 else d))
-    return out
+
+def parts_of(text: str) -> Iterator[tuple[list[str], list[int], list[int], bool]]:
+    """(words, starts, ends, last) of each part of a line, in order; last: it ends its line."""
+    words: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    held = None  # a part waits until it is known whether its line goes on
+    for m in _WORD.finditer(text):
+        w = m[0]
+        if w == "\n":
+            if words:
+                if held:
+                    yield *held, False
+                held, words, starts, ends = (words, starts, ends), [], [], []
+            if held:
+                yield *held, True
+                held = None
+            continue
+        w = w.lower()
+        words.append(w)
+        starts.append(m.start())
+        ends.append(m.end())
+        if w[-1] in ".!?" or zlib.crc32(w.encode("utf-8", "surrogatepass")) % CUT == 0:
+            if held:
+                yield *held, False
+            held, words, starts, ends = (words, starts, ends), [], [], []
+    if words:
+        if held:
+            yield *held, False
+        held = words, starts, ends
+    if held:
+        yield *held, True
+
+
+def units_of(text: str, short: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> list[tuple[int, ...]]:
+    """(at, word, start, end, words, before, after, digest) of each unit: parts, then lines of at least least_line and under short words.
+
+    at: the part's number in the text, -1 for a line; word: the number of its first word; before, after: words of the parts
+    beside it. Longer lines need no unit, as runs of their parts take their place. Digests are signed 64-bit numbers.
+    """
+    out: list[tuple[int, ...]] = []
+    lines: list[tuple[int, ...]] = []
+    line: list[str] = []
+    sizes: list[int] = []
+    word = begin = 0
+    for words, starts, ends, last in parts_of(text):
+        if not line:
+            begin = starts[0]
+        line += words
+        out.append((len(out), word, starts[0], ends[-1], len(words), 0, 0, _digest(words, 0)))
+        sizes.append(len(words))
+        word += len(words)
+        if last:
+            if least_line <= len(line) < short:
+                lines.append((-1, word - len(line), begin, ends[-1], len(line), 0, 0, _digest(line, 1)))
+            line = []
+    sizes += [0]
+    return [(*u[:5], sizes[i - 1] if i else 0, sizes[i + 1], u[7]) for i, u in enumerate(out)] + lines
 
 
-def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, key, at, start, end, words, digest) of all units; key: the text's hash, at: the unit's number in it."""
-    src = small_batches(docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).cast("string").alias("text")))
-    names = ("at", "start", "end", "words", "digest")
-    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("key", T.LongType()), *[T.StructField(n, T.IntegerType() if n in ("at", "words") else T.LongType()) for n in names]])
+def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
+
+
+def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", short: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> DataFrame:
+    """Rows (id, key) and units_of of all texts; key: the text's hash."""
+    src = small_batches(_documents(docs, doc_id, text))
+    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("key", T.LongType()), *[T.StructField(n, T.LongType() if n == "digest" else T.IntegerType()) for n in _NAMES]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
             rows, of = [], []
             for i, t in enumerate(b.column(2).to_pylist()):
-                got = units_of(t or "")
-                rows += [(k, *u) for k, u in enumerate(got)]
+                got = units_of(t, short, least_line) if t else []
+                rows += got
                 of += [i] * len(got)
-            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            cols = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
             which = pa.array(of, pa.int64())
-            arrays = [pa.array(c, pa.int32() if n in ("at", "words") else pa.int64()) for n, c in zip(names, cols, strict=True)]
+            arrays = [pa.array(c, pa.int64() if n == "digest" else pa.int32()) for n, c in zip(_NAMES, cols, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *arrays], names=schema.names)
 
     return src.mapInArrow(cut, schema)
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Rows (id, key, start, end, words, kept_id, kept_start) of each run of units that occurred before.
+def _words_beside(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows (id, key, at, words, starts, ends) of the parts asked for by (id, key, at): each word and its place."""
+    wanted = asked.groupBy("id", "key").agg(F.collect_set("at").alias("ats")).withColumnsRenamed({"id": "_id", "key": "_key"})
+    src = small_batches(_documents(docs, doc_id, text).join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "key", "text", "ats"))
+    lists = [T.StructField(n, T.ArrayType(t)) for n, t in (("words", T.StringType()), ("starts", T.IntegerType()), ("ends", T.IntegerType()))]
+    schema = T.StructType([src.schema["id"], T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType()), *lists])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2):
+            rows, of = [], []
+            for i, (t, ats) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                some = set(ats)
+                got = [(at, w, s, e) for at, (w, s, e, _) in enumerate(parts_of(t)) if at in some]
+                rows += got
+                of += [i] * len(got)
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            which = pa.array(of, pa.int64())
+            types = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            arrays = [pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *arrays], names=schema.names)
+
+    # equal rows give equal parts
+    return src.mapInArrow(read, schema).dropDuplicates(["id", "key", "at"])
 
-    kept_id and kept_start are where the run's first unit is kept.
+
+def _agree(a: Column, b: Column) -> Column:
+    """How many first elements of two arrays are equal; 0 if one is null."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.coalesce(F.when(differ == 0, F.size(a)).otherwise(differ - 1), F.lit(0)).cast("int")
+
+
+def _extended(runs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """runs (id, key, first, last, word, start, end, words, left, right) with word, start, end, words and kept (id, start) after extension.
+
+    left, right: (at, id, key, kept_at) of the unit near that end that says where to look for more; kept: of the first unit.
     """
-    found = units(docs, doc_id, text)
+    left, right = F.col("left"), F.col("right")
+    sides = runs.select(
+        "*",
+        (F.col("first") - 1).alias("own_l"),
+        (left["kept_at"] - (left["at"] - F.col("first")) - 1).alias("kept_l"),
+        (F.col("last") + 1).alias("own_r"),
+        (right["kept_at"] + (F.col("last") - right["at"]) + 1).alias("kept_r"),
+    )
+    sides = written(sides, "run-sides")
+    own = [sides.select("id", "key", F.col(c).alias("at")) for c in ("own_l", "own_r")]
+    kept = [sides.select(F.col(f"{s}.id").alias("id"), F.col(f"{s}.key").alias("key"), F.col(c).alias("at")) for s, c in (("left", "kept_l"), ("right", "kept_r"))]
+    asked = own[0].union(own[1]).union(kept[0]).union(kept[1]).where("at >= 0").distinct()
+    beside = written(_words_beside(docs, asked, doc_id, text), "words-beside")
+
+    def with_words(rows: DataFrame, name: str, id_: Column, key: Column, at: Column) -> DataFrame:
+        other = beside.select(F.struct("words", "starts", "ends").alias(name), F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("at").alias("_at"))
+        return rows.join(other, id_.eqNullSafe(F.col("_id")) & (key == F.col("_key")) & (at == F.col("_at")), "left").drop("_id", "_key", "_at")
+
+    for side in ("l", "r"):
+        anchor = F.col("left" if side == "l" else "right")
+        sides = with_words(sides, f"own_{side}w", F.col("id"), F.col("key"), F.col(f"own_{side}"))
+        sides = with_words(sides, f"kept_{side}w", anchor["id"], anchor["key"], F.col(f"kept_{side}"))
+    more_l = _agree(F.reverse("own_lw.words"), F.reverse("kept_lw.words"))
+    more_r = _agree(F.col("own_rw.words"), F.col("kept_rw.words"))
+    sides = sides.withColumns({"more_l": more_l, "more_r": more_r})
+    got = lambda c, n: F.get(F.col(c), n)
+    return sides.select(
+        "id",
+        "key",
+        (F.col("word") - F.col("more_l")).alias("word"),
+        F.when(F.col("more_l") > 0, got("own_lw.starts", F.size("own_lw.starts") - F.col("more_l"))).otherwise(F.col("start")).alias("start"),
+        F.when(F.col("more_r") > 0, got("own_rw.ends", F.col("more_r") - 1)).otherwise(F.col("end")).alias("end"),
+        (F.col("words") + F.col("more_l") + F.col("more_r")).alias("words"),
+        F.when(F.col("more_l") > 0, left["id"]).otherwise(F.col("kept.id")).alias("kept_id"),
+        F.when(F.col("more_l") > 0, got("kept_lw.starts", F.size("kept_lw.starts") - F.col("more_l"))).otherwise(F.col("kept.start")).alias("kept_start"),
+    )
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> DataFrame:
+    """Rows (id, key, start, end, words, kept_id, kept_start) of each stretch of text that occurred before.
+
+    kept_id and kept_start are where the stretch's first words are kept.
+    """
+    found = units(docs, doc_id, text, least_words, least_line)
     place = F.struct("id", "key", "start")
-    length = F.col("end") - F.col("start")
-    # a digest is told apart by its unit's words as well
-    first = found.groupBy("digest", "words").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a digest is told apart by its unit's words as well; lines have digests of their own
+    first = found.groupBy("digest", "words").agg(F.min(F.struct("id", "key", "start", "at")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = written(first, "first-places")  # else its aggregation shares a stage with the join, and a common unit can't be split
-    again = found.join(first, ["digest", "words"]).where(~place.eqNullSafe(F.col("kept")) & (length > 0))
+    again = found.join(first, ["digest", "words"]).where(~place.eqNullSafe(F.struct("kept.id", "kept.key", "kept.start")))
     # equal rows give equal units
-    again = again.select("id", "key", "at", "start", "end", "words", "kept").distinct()
-    run = F.col("at") - F.row_number().over(W.partitionBy("id", "key").orderBy("at"))
-    runs = again.withColumn("run", run).groupBy("id", "key", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min_by("kept", "at").alias("kept")
+    again = written(again.select("id", "key", *_NAMES[:-1], "kept").dropDuplicates(["id", "key", "at", "start"]), "again")
+    lines = again.where("at < 0").select("id", "key", "word", "start", "end", "words", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start"))
+
+    parts = again.where("at >= 0").withColumn("run", F.col("at") - F.row_number().over(W.partitionBy("id", "key").orderBy("at")))
+    whole = W.partitionBy("id", "key", "run")
+    parts = parts.withColumns({"first": F.min("at").over(whole), "last": F.max("at").over(whole)})
+    said = F.struct("at", "kept.id", "kept.key", F.col("kept.at").alias("kept_at"))
+
+    def anchor(near: Column) -> Column:
+        return F.max_by(said, F.when(near < ANCHORS, F.struct("words", -near)))
+
+    runs = parts.groupBy("id", "key", "run", "first", "last").agg(
+        F.min("word").alias("word"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.sum("words").cast("int").alias("words"),
+        (F.min_by("before", "at") + F.max_by("after", "at")).alias("beside"),
+        anchor(F.col("at") - F.col("first")).alias("left"),
+        anchor(F.col("last") - F.col("at")).alias("right"),
+        F.min_by(F.struct("kept.id", "kept.start"), "at").alias("kept"),
+    )
+    # others can't grow to least_words
+    runs = _extended(runs.where(F.col("words") + F.col("beside") >= least_words).drop("run", "beside"), docs, doc_id, text)
+    spans = runs.where(F.col("words") >= least_words).unionByName(lines)
+
+    # stretches that overlap or touch are one
+    order = W.partitionBy("id", "key").orderBy("word", F.desc("words"))
+    reached = F.max(F.col("word") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(F.col("word") <= reached, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    kept = F.min_by(F.struct("kept_id", "kept_start"), F.struct("word", -F.col("words"))).alias("kept")
+    joined = spans.groupBy("id", "key", "stretch").agg(
+        F.min("start").cast("bigint").alias("start"), F.max("end").cast("bigint").alias("end"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"), kept
     )
-    runs = runs.where(F.col("words") >= least_words)
-    return runs.select("id", "key", "start", "end", "words", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start"))
+    return joined.select("id", "key", "start", "end", "words", F.col("kept.kept_id").alias("kept_id"), F.col("kept.kept_start").cast("bigint").alias("kept_start"))
 
 
-def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, out: str = "removed") -> DataFrame:
+def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE, out: str = "removed") -> DataFrame:
     """docs with repeated passages cut from the text, and a column of their offsets in the text as it was, null if none.
 
-    What stays of a text is joined by newlines. Columns other than text are kept.
+    What stays of a text is joined by newlines. Columns other than text are kept; one that is named as out gives way to it.
     """
-    runs = repeated_passages(docs, doc_id, text, least_words).groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    runs = repeated_passages(docs, doc_id, text, least_words, least_line).groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     rest = [c for c in docs.columns if c.lower() != out.lower()]
     left = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumn("_key", F.xxhash64(F.col(text)))
     joined = left.join(runs, left[doc_id].eqNullSafe(runs["id"]) & (left["_key"] == runs["key"]), "left").select(*[left[f"`{c}`"] for c in rest], "_spans")
