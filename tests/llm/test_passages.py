@@ -63,6 +63,14 @@ def test_a_passage_across_lines_is_one_stretch(spark):
     assert (i, n, k) == (2, 48, 1) and docs[1][1][s:e] == lines and docs[0][1][p:] == lines
 
 
+def test_parts_are_told_by_words_not_by_case_or_white_space():
+    words = [f"Wort{rng.randrange(10**6)}" for _ in range(60)]
+    a, b = " ".join(words), "\u00a0 ".join(w.upper() for w in words[:20]) + "\t" + " \t".join(words[20:])
+    one, two = passages.units_of(a), passages.units_of(b)
+    assert [c.tolist() for c in (one[0], *one[3:])] == [c.tolist() for c in (two[0], *two[3:])]
+    assert passages.lower("\u0130A\u00df") == "\u0130a\u00df" and all(len(c) == 0 for t in ("", " \n ") for c in passages.units_of(t))
+
+
 def test_short_lines_go_if_asked(spark):
     docs = [(1, "Yes.\nAll rights are kept.\n" + _prose(5)), (2, _prose(5) + "\nall  rights ARE kept.\nYes."), (3, "Yes. " + _prose(4))]
     assert _found(spark, docs) == []

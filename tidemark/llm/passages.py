@@ -20,10 +20,9 @@ found, whatever their names.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,75 +37,78 @@ LEAST_WORDS = 25
 #: documents hold one, a notice or a common phrase, that nobody copied them for.
 LEAST_LINE = LEAST_WORDS
 #: One of so many different words ends a part of a line.
-CUT = 24
+CUT = 32
 #: Units at either end of a run among which the one of most words says where the run is kept.
 ANCHORS = 3
-_WORD = re.compile(r"\S+|\n")
-_NAMES = ("at", "word", "start", "end", "words", "before", "after", "digest")
-
-
-def _digest(words: list[str], seed: int) -> int:
-    d = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), seed)
-    return d - (1 << 64) if d >> 63 else d
-
-
-def parts_of(text: str) -> Iterator[tuple[list[str], list[int], list[int], bool]]:
-    """(words, starts, ends, last) of each part of a line, in order; last: it ends its line."""
-    words: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    held = None  # a part waits until it is known whether its line goes on
-    for m in _WORD.finditer(text):
-        w = m[0]
-        if w == "\n":
-            if words:
-                if held:
-                    yield *held, False
-                held, words, starts, ends = (words, starts, ends), [], [], []
-            if held:
-                yield *held, True
-                held = None
-            continue
-        w = w.lower()
-        words.append(w)
-        starts.append(m.start())
-        ends.append(m.end())
-        if w[-1] in ".!?" or zlib.crc32(w.encode("utf-8", "surrogatepass")) % CUT == 0:
-            if held:
-                yield *held, False
-            held, words, starts, ends = (words, starts, ends), [], [], []
-    if words:
-        if held:
-            yield *held, False
-        held = words, starts, ends
-    if held:
-        yield *held, True
-
-
-def units_of(text: str, short: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> list[tuple[int, ...]]:
-    """(at, word, start, end, words, before, after, digest) of each unit: parts, then lines of at least least_line and under short words.
-
-    at: the part's number in the text, -1 for a line; word: the number of its first word; before, after: words of the parts
-    beside it. Longer lines need no unit, as runs of their parts take their place. Digests are signed 64-bit numbers.
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
+_ENDS = np.array([ord(c) for c in ".!?"], np.uint32)
+_NAMES = ("word", "start", "end", "words", "beside", "digest")
+
+
+def lower(text: str) -> str:
+    """text in lower case, character by character: those with no one character for it stay, so that offsets hold."""
+    t = text.lower()
+    return t if len(t) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+class Parts:
+    """A text's words and the parts of lines that they are cut into, as arrays.
+
+    starts, ends: of words, in the text. first, stop: of parts, in words. line: of words, a number. wide: of words but the
+    last, whether more or other than one blank follows.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text = lower(text)
+        code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = np.concatenate([[True], _SPACES[np.minimum(code, 0x3001)], [True]])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        self.starts, self.ends = starts, ends = edges[::2], edges[1::2]
+        self.line = np.searchsorted(np.flatnonzero(code == 10), starts)
+        if not len(starts):
+            self.first = self.stop = starts
+            return
+        self.wide = (starts[1:] - ends[:-1] > 1) | (code[ends[:-1]] != 32)
+        # a word's hash is of its last three characters and its length
+        last = code[ends - 1]
+        h = (ends - starts).astype(np.uint32)
+        for k in (1, 2, 3):
+            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) + code[np.maximum(ends - k, starts)]
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
+        cut = np.isin(last, _ENDS) | ((h >> np.uint32(8)) % np.uint32(CUT) == 0)
+        cut[:-1] |= self.line[1:] != self.line[:-1]
+        cut[-1] = True
+        self.stop = np.flatnonzero(cut) + 1
+        self.first = np.concatenate([[0], self.stop[:-1]])
+
+    def digests(self, first: np.ndarray, stop: np.ndarray, seed: int) -> np.ndarray:
+        """Signed 64-bit hashes of stretches of words, one space between them."""
+        starts, ends = self.starts[first].tolist(), self.ends[stop - 1].tolist()
+        gap = np.concatenate([[0], np.cumsum(self.wide)]) if len(first) else first
+        wide = (gap[stop - 1] != gap[first]).tolist()
+        h, t = xxhash.xxh3_64_intdigest, self.text
+        every = (h((" ".join(t[a:b].split()) if w else t[a:b]).encode("utf-8", "surrogatepass"), seed) for a, b, w in zip(starts, ends, wide, strict=True))
+        return np.fromiter(every, np.uint64, len(starts)).view(np.int64)
+
+
+def units_of(text: str, short: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> list[np.ndarray]:
+    """Columns word, start, end, words, beside, digest of a text's units: parts, then lines of at least least_line and under short words.
+
+    word: the number of the first word; beside: words of the parts before and after, -1 for a line. Longer lines need no
+    unit, as runs of their parts take their place.
     """
-    out: list[tuple[int, ...]] = []
-    lines: list[tuple[int, ...]] = []
-    line: list[str] = []
-    sizes: list[int] = []
-    word = begin = 0
-    for words, starts, ends, last in parts_of(text):
-        if not line:
-            begin = starts[0]
-        line += words
-        out.append((len(out), word, starts[0], ends[-1], len(words), 0, 0, _digest(words, 0)))
-        sizes.append(len(words))
-        word += len(words)
-        if last:
-            if least_line <= len(line) < short:
-                lines.append((-1, word - len(line), begin, ends[-1], len(line), 0, 0, _digest(line, 1)))
-            line = []
-    sizes += [0]
-    return [(*u[:5], sizes[i - 1] if i else 0, sizes[i + 1], u[7]) for i, u in enumerate(out)] + lines
+    p = Parts(text)
+    size = p.stop - p.first
+    around = np.concatenate([[0], size, [0]])
+    out = [p.first, p.starts[p.first], p.ends[p.stop - 1], size, around[:-2] + around[2:], p.digests(p.first, p.stop, 0)]
+    if least_line < short and len(p.starts):
+        stop = np.concatenate([np.flatnonzero(p.line[1:] != p.line[:-1]) + 1, [len(p.starts)]])
+        first = np.concatenate([[0], stop[:-1]])
+        some = (stop - first >= least_line) & (stop - first < short)
+        first, stop = first[some], stop[some]
+        line = [first, p.starts[first], p.ends[stop - 1], stop - first, np.full(len(first), -1), p.digests(first, stop, 1)]
+        out = [np.concatenate(c) for c in zip(out, line, strict=True)]
+    return out
 
 
 def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -120,90 +122,87 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", short: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
-            rows, of = [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
-                got = units_of(t, short, least_line) if t else []
-                rows += got
-                of += [i] * len(got)
-            cols = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
-            which = pa.array(of, pa.int64())
-            arrays = [pa.array(c, pa.int64() if n == "digest" else pa.int32()) for n, c in zip(_NAMES, cols, strict=True)]
+            got = [units_of(t or "", short, least_line) for t in b.column(2).to_pylist()]
+            which = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
+            arrays = [pa.array(np.concatenate([g[k] for g in got]).astype(np.int64 if n == "digest" else np.int32)) for k, n in enumerate(_NAMES)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *arrays], names=schema.names)
 
     return src.mapInArrow(cut, schema)
 
 
 def _words_beside(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (id, key, at, words, starts, ends) of the parts asked for by (id, key, at): each word and its place."""
+    """Rows (id, key, at, words, starts) for places asked for by (id, key, at): the words from there to the end of their part, and where they start.
+
+    at: a word's number; or, of the word from which the part is wanted backwards, -1 less that number.
+    """
     wanted = asked.groupBy("id", "key").agg(F.collect_set("at").alias("ats")).withColumnsRenamed({"id": "_id", "key": "_key"})
     src = small_batches(_documents(docs, doc_id, text).join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "key", "text", "ats"))
-    lists = [T.StructField(n, T.ArrayType(t)) for n, t in (("words", T.StringType()), ("starts", T.IntegerType()), ("ends", T.IntegerType()))]
+    lists = [T.StructField(n, T.ArrayType(t)) for n, t in (("words", T.StringType()), ("starts", T.IntegerType()))]
     schema = T.StructType([src.schema["id"], T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType()), *lists])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
-            rows, of = [], []
+            of, places, words, starts = [], [], [], []
             for i, (t, ats) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                some = set(ats)
-                got = [(at, w, s, e) for at, (w, s, e, _) in enumerate(parts_of(t)) if at in some]
-                rows += got
-                of += [i] * len(got)
-            cols = list(zip(*rows, strict=True)) or [()] * 4
+                p = Parts(t)
+                for at in ats:
+                    w = at if at >= 0 else -1 - at
+                    if w >= len(p.starts):
+                        continue
+                    part = int(np.searchsorted(p.stop, w, "right"))
+                    a, z = (w, int(p.stop[part])) if at >= 0 else (int(p.first[part]), w + 1)
+                    step = 1 if at >= 0 else -1
+                    of.append(i)
+                    places.append(at)
+                    words.append(p.text[p.starts[a] : p.ends[z - 1]].split()[::step])
+                    starts.append(p.starts[a:z][::step])
             which = pa.array(of, pa.int64())
-            types = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            arrays = [pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]
+            arrays = [pa.array(places, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *arrays], names=schema.names)
 
     # equal rows give equal parts
     return src.mapInArrow(read, schema).dropDuplicates(["id", "key", "at"])
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """How many first elements of two arrays are equal; 0 if one is null."""
-    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
-    return F.coalesce(F.when(differ == 0, F.size(a)).otherwise(differ - 1), F.lit(0)).cast("int")
-
-
 def _extended(runs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """runs (id, key, first, last, word, start, end, words, left, right) with word, start, end, words and kept (id, start) after extension.
+    """runs (id, key, word, start, end, words, left, right, kept) after extension, as spans with kept_id and kept_start.
 
-    left, right: (at, id, key, kept_at) of the unit near that end that says where to look for more; kept: of the first unit.
+    left, right: (word, id, key, kept_word) of the unit near that end that says where to look for more; kept: of the first unit.
     """
-    left, right = F.col("left"), F.col("right")
-    sides = runs.select(
-        "*",
-        (F.col("first") - 1).alias("own_l"),
-        (left["kept_at"] - (left["at"] - F.col("first")) - 1).alias("kept_l"),
-        (F.col("last") + 1).alias("own_r"),
-        (right["kept_at"] + (F.col("last") - right["at"]) + 1).alias("kept_r"),
-    )
-    sides = written(sides, "run-sides")
-    own = [sides.select("id", "key", F.col(c).alias("at")) for c in ("own_l", "own_r")]
-    kept = [sides.select(F.col(f"{s}.id").alias("id"), F.col(f"{s}.key").alias("key"), F.col(c).alias("at")) for s, c in (("left", "kept_l"), ("right", "kept_r"))]
-    asked = own[0].union(own[1]).union(kept[0]).union(kept[1]).where("at >= 0").distinct()
+    runs = written(runs, "runs")
+    ends = []
+    for side, at in (("left", F.col("word") - 1), ("right", F.col("word") + F.col("words"))):
+        s = F.col(side)
+        there = s["kept_word"] + at - s["word"]
+        sign = (lambda x: -1 - x) if side == "left" else (lambda x: x)
+        ends.append(runs.where((at >= 0) & (there >= 0)).select("id", "key", "word", F.lit(side == "left").alias("before"), sign(at).alias("at"), s["id"].alias("k_id"), s["key"].alias("k_key"), sign(there).alias("k_at")))
+    ends = ends[0].union(ends[1])
+    asked = ends.select("id", "key", "at").union(ends.select(F.col("k_id").alias("id"), F.col("k_key").alias("key"), F.col("k_at").alias("at"))).distinct()
     beside = written(_words_beside(docs, asked, doc_id, text), "words-beside")
 
-    def with_words(rows: DataFrame, name: str, id_: Column, key: Column, at: Column) -> DataFrame:
-        other = beside.select(F.struct("words", "starts", "ends").alias(name), F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("at").alias("_at"))
-        return rows.join(other, id_.eqNullSafe(F.col("_id")) & (key == F.col("_key")) & (at == F.col("_at")), "left").drop("_id", "_key", "_at")
-
-    for side in ("l", "r"):
-        anchor = F.col("left" if side == "l" else "right")
-        sides = with_words(sides, f"own_{side}w", F.col("id"), F.col("key"), F.col(f"own_{side}"))
-        sides = with_words(sides, f"kept_{side}w", anchor["id"], anchor["key"], F.col(f"kept_{side}"))
-    more_l = _agree(F.reverse("own_lw.words"), F.reverse("kept_lw.words"))
-    more_r = _agree(F.col("own_rw.words"), F.col("kept_rw.words"))
-    sides = sides.withColumns({"more_l": more_l, "more_r": more_r})
-    got = lambda c, n: F.get(F.col(c), n)
-    return sides.select(
+    def of(*names: str) -> DataFrame:
+        return beside.toDF(*[f"{n}_" for n in names])
+
+    own, kept = of("id", "key", "at", "own", "own_starts"), of("k_id", "k_key", "k_at", "kept", "kept_starts")
+    ends = ends.join(own, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("at") == F.col("at_")))
+    ends = ends.join(kept, F.col("k_id").eqNullSafe(F.col("k_id_")) & (F.col("k_key") == F.col("k_key_")) & (F.col("k_at") == F.col("k_at_")))
+    differ = F.array_position(F.zip_with("own_", "kept_", lambda x, y: x.eqNullSafe(y)), False)
+    more = ends.withColumn("n", F.when(differ == 0, F.size("own_")).otherwise(differ - 1).cast("int")).where("n > 0")
+    start = F.get("own_starts_", F.col("n") - 1)
+    end = start + F.length(F.get("own_", F.col("n") - 1))
+    found = F.struct("n", F.when(F.col("before"), start).otherwise(end).alias("to"), F.col("k_id").alias("kept_id"), F.get("kept_starts_", F.col("n") - 1).alias("kept_start"))
+    more = more.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("word").alias("_word"), "before", found.alias("found"))
+    more = more.groupBy("_id", "_key", "_word").agg(F.max_by("found", F.when(F.col("before"), 1)).alias("l"), F.max_by("found", F.when(~F.col("before"), 1)).alias("r"))
+    both = runs.join(more, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("word") == F.col("_word")), "left")
+    n_l, n_r = F.coalesce("l.n", F.lit(0)), F.coalesce("r.n", F.lit(0))
+    return both.select(
         "id",
         "key",
-        (F.col("word") - F.col("more_l")).alias("word"),
-        F.when(F.col("more_l") > 0, got("own_lw.starts", F.size("own_lw.starts") - F.col("more_l"))).otherwise(F.col("start")).alias("start"),
-        F.when(F.col("more_r") > 0, got("own_rw.ends", F.col("more_r") - 1)).otherwise(F.col("end")).alias("end"),
-        (F.col("words") + F.col("more_l") + F.col("more_r")).alias("words"),
-        F.when(F.col("more_l") > 0, left["id"]).otherwise(F.col("kept.id")).alias("kept_id"),
-        F.when(F.col("more_l") > 0, got("kept_lw.starts", F.size("kept_lw.starts") - F.col("more_l"))).otherwise(F.col("kept.start")).alias("kept_start"),
+        (F.col("word") - n_l).alias("word"),
+        F.coalesce("l.to", "start").alias("start"),
+        F.coalesce("r.to", "end").alias("end"),
+        (F.col("words") + n_l + n_r).alias("words"),
+        F.when(F.col("l").isNotNull(), F.struct("l.kept_id", "l.kept_start")).otherwise(F.struct(F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start"))).alias("kept"),
     )
 
 
@@ -213,44 +212,51 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     kept_id and kept_start are where the stretch's first words are kept.
     """
     found = units(docs, doc_id, text, least_words, least_line)
-    place = F.struct("id", "key", "start")
     # a digest is told apart by its unit's words as well; lines have digests of their own
-    first = found.groupBy("digest", "words").agg(F.min(F.struct("id", "key", "start", "at")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = found.groupBy("digest", "words").agg(F.min(F.struct("id", "key", "start", "word")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = written(first, "first-places")  # else its aggregation shares a stage with the join, and a common unit can't be split
-    again = found.join(first, ["digest", "words"]).where(~place.eqNullSafe(F.struct("kept.id", "kept.key", "kept.start")))
+    again = found.join(first, ["digest", "words"]).where(~F.struct("id", "key", "start").eqNullSafe(F.struct("kept.id", "kept.key", "kept.start")))
     # equal rows give equal units
-    again = written(again.select("id", "key", *_NAMES[:-1], "kept").dropDuplicates(["id", "key", "at", "start"]), "again")
-    lines = again.where("at < 0").select("id", "key", "word", "start", "end", "words", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start"))
-
-    parts = again.where("at >= 0").withColumn("run", F.col("at") - F.row_number().over(W.partitionBy("id", "key").orderBy("at")))
-    whole = W.partitionBy("id", "key", "run")
-    parts = parts.withColumns({"first": F.min("at").over(whole), "last": F.max("at").over(whole)})
-    said = F.struct("at", "kept.id", "kept.key", F.col("kept.at").alias("kept_at"))
+    again = again.select("id", "key", *_NAMES[:-1], "kept").repartition("id", "key").distinct()
+    lines = None
+    if least_line < least_words:
+        again = written(again, "again")
+        lines = again.where("beside < 0").select("id", "key", "word", "start", "end", "words", F.struct(F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start")).alias("kept"))
+
+    # neighbours: the one's first word is the next after the other's last
+    order = W.partitionBy("id", "key").orderBy("word")
+    parts = again.where("beside >= 0").withColumn("run", F.col("word") + F.col("words") - F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    whole = W.partitionBy("id", "key", "run").orderBy("word")
+    parts = parts.withColumns({"nth": F.row_number().over(whole), "of": F.count("*").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    said = F.struct("word", "kept.id", "kept.key", F.col("kept.word").alias("kept_word"))
 
     def anchor(near: Column) -> Column:
         return F.max_by(said, F.when(near < ANCHORS, F.struct("words", -near)))
 
-    runs = parts.groupBy("id", "key", "run", "first", "last").agg(
+    runs = parts.groupBy("id", "key", "run").agg(
         F.min("word").alias("word"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("words").cast("int").alias("words"),
-        (F.min_by("before", "at") + F.max_by("after", "at")).alias("beside"),
-        anchor(F.col("at") - F.col("first")).alias("left"),
-        anchor(F.col("last") - F.col("at")).alias("right"),
-        F.min_by(F.struct("kept.id", "kept.start"), "at").alias("kept"),
+        (F.min_by("beside", "word") + F.max_by("beside", "word")).alias("beside"),
+        anchor(F.col("nth") - 1).alias("left"),
+        anchor(F.col("of") - F.col("nth")).alias("right"),
+        F.min_by(F.struct("kept.id", "kept.start"), "word").alias("kept"),
     )
     # others can't grow to least_words
     runs = _extended(runs.where(F.col("words") + F.col("beside") >= least_words).drop("run", "beside"), docs, doc_id, text)
-    spans = runs.where(F.col("words") >= least_words).unionByName(lines)
+    spans = runs.where(F.col("words") >= least_words)
+    spans = spans if lines is None else spans.unionByName(lines)
 
     # stretches that overlap or touch are one
     order = W.partitionBy("id", "key").orderBy("word", F.desc("words"))
     reached = F.max(F.col("word") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.col("word") <= reached, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    kept = F.min_by(F.struct("kept_id", "kept_start"), F.struct("word", -F.col("words"))).alias("kept")
     joined = spans.groupBy("id", "key", "stretch").agg(
-        F.min("start").cast("bigint").alias("start"), F.max("end").cast("bigint").alias("end"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"), kept
+        F.min("start").cast("bigint").alias("start"),
+        F.max("end").cast("bigint").alias("end"),
+        (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"),
+        F.min_by("kept", F.struct("word", -F.col("words"))).alias("kept"),
     )
     return joined.select("id", "key", "start", "end", "words", F.col("kept.kept_id").alias("kept_id"), F.col("kept.kept_start").cast("bigint").alias("kept_start"))
 
