@@ -133,10 +133,13 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", short: in
 def _words_beside(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows (id, key, at, words, starts) for places asked for by (id, key, at): the words from there to the end of their part, and where they start.
 
-    at: a word's number; or, of the word from which the part is wanted backwards, -1 less that number.
+    id: a structure of the id, which can be joined by if the id is null. at: a word's number; or, of the word from which the
+    part is wanted backwards, -1 less that number.
     """
-    wanted = asked.groupBy("id", "key").agg(F.collect_set("at").alias("ats")).withColumnsRenamed({"id": "_id", "key": "_key"})
-    src = small_batches(_documents(docs, doc_id, text).join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "key", "text", "ats"))
+    wanted = asked.groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
+    # equal rows are one before texts move; the join has its rows where they then are
+    src = _documents(docs, doc_id, text).withColumn("id", F.struct("id")).dropDuplicates(["id", "key"])
+    src = small_batches(src.join(wanted, ["id", "key"]).select("id", "key", "text", "ats"))
     lists = [T.StructField(n, T.ArrayType(t)) for n, t in (("words", T.StringType()), ("starts", T.IntegerType()))]
     schema = T.StructType([src.schema["id"], T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType()), *lists])
 
@@ -160,8 +163,7 @@ def _words_beside(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) ->
             arrays = [pa.array(places, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *arrays], names=schema.names)
 
-    # equal rows give equal parts
-    return src.mapInArrow(read, schema).dropDuplicates(["id", "key", "at"])
+    return src.mapInArrow(read, schema)
 
 
 def _extended(runs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -175,23 +177,19 @@ def _extended(runs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataF
         s = F.col(side)
         there = s["kept_word"] + at - s["word"]
         sign = (lambda x: -1 - x) if side == "left" else (lambda x: x)
-        ends.append(runs.where((at >= 0) & (there >= 0)).select("id", "key", "word", F.lit(side == "left").alias("before"), sign(at).alias("at"), s["id"].alias("k_id"), s["key"].alias("k_key"), sign(there).alias("k_at")))
+        ends.append(runs.where((at >= 0) & (there >= 0)).select(F.struct("id").alias("id"), "key", "word", F.lit(side == "left").alias("before"), sign(at).alias("at"), F.struct(s["id"].alias("id")).alias("k_id"), s["key"].alias("k_key"), sign(there).alias("k_at")))
     ends = ends[0].union(ends[1])
-    asked = ends.select("id", "key", "at").union(ends.select(F.col("k_id").alias("id"), F.col("k_key").alias("key"), F.col("k_at").alias("at"))).distinct()
+    asked = ends.select("id", "key", "at").union(ends.select(F.col("k_id").alias("id"), F.col("k_key").alias("key"), F.col("k_at").alias("at")))
     beside = written(_words_beside(docs, asked, doc_id, text), "words-beside")
 
-    def of(*names: str) -> DataFrame:
-        return beside.toDF(*[f"{n}_" for n in names])
-
-    own, kept = of("id", "key", "at", "own", "own_starts"), of("k_id", "k_key", "k_at", "kept", "kept_starts")
-    ends = ends.join(own, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("at") == F.col("at_")))
-    ends = ends.join(kept, F.col("k_id").eqNullSafe(F.col("k_id_")) & (F.col("k_key") == F.col("k_key_")) & (F.col("k_at") == F.col("k_at_")))
-    differ = F.array_position(F.zip_with("own_", "kept_", lambda x, y: x.eqNullSafe(y)), False)
-    more = ends.withColumn("n", F.when(differ == 0, F.size("own_")).otherwise(differ - 1).cast("int")).where("n > 0")
-    start = F.get("own_starts_", F.col("n") - 1)
-    end = start + F.length(F.get("own_", F.col("n") - 1))
-    found = F.struct("n", F.when(F.col("before"), start).otherwise(end).alias("to"), F.col("k_id").alias("kept_id"), F.get("kept_starts_", F.col("n") - 1).alias("kept_start"))
-    more = more.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("word").alias("_word"), "before", found.alias("found"))
+    own, kept = beside.toDF("id", "key", "at", "own", "own_starts"), beside.toDF("k_id", "k_key", "k_at", "kept", "kept_starts")
+    ends = ends.join(own, ["id", "key", "at"]).join(kept, ["k_id", "k_key", "k_at"])
+    differ = F.array_position(F.zip_with("own", "kept", lambda x, y: x.eqNullSafe(y)), False)
+    more = ends.withColumn("n", F.when(differ == 0, F.size("own")).otherwise(differ - 1).cast("int")).where("n > 0")
+    start = F.get("own_starts", F.col("n") - 1)
+    end = start + F.length(F.get("own", F.col("n") - 1))
+    found = F.struct("n", F.when(F.col("before"), start).otherwise(end).alias("to"), F.col("k_id.id").alias("kept_id"), F.get("kept_starts", F.col("n") - 1).alias("kept_start"))
+    more = more.select(F.col("id.id").alias("_id"), F.col("key").alias("_key"), F.col("word").alias("_word"), "before", found.alias("found"))
     more = more.groupBy("_id", "_key", "_word").agg(F.max_by("found", F.when(F.col("before"), 1)).alias("l"), F.max_by("found", F.when(~F.col("before"), 1)).alias("r"))
     both = runs.join(more, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("word") == F.col("_word")), "left")
     n_l, n_r = F.coalesce("l.n", F.lit(0)), F.coalesce("r.n", F.lit(0))
