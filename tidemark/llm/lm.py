@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -287,7 +288,8 @@ def held_out(doc_id: str) -> Column:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held_out("doc_id").alias("held_out"))
+    lower = F.translate("text", ascii_uppercase, ascii_lowercase).alias("text")  # A-Z only, not as lower() does
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lower, held_out("doc_id").alias("held_out"))
     training = docs.where("not held_out")
     vocabulary, words = learn_vocabulary(training)
     weights = train(training, vocabulary)
