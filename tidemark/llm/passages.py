@@ -130,38 +130,53 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", short: in
     return src.mapInArrow(cut, schema)
 
 
-def _words_beside(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (id, key, at, words, starts) for places asked for by (id, key, at): the words from there to the end of their part, and where they start.
+def _words_beside(docs: DataFrame, ends: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows (k_id, k_key, k_at, id, key, word, before, words, starts): the words from a place to the end of its part, one space between them, and where they start.
 
-    at: a word's number; or, of the word from which the part is wanted backwards, -1 less that number.
+    ends: (id, key, word, before, at, k_id, k_key, k_at). Each gives a row for its own place (id, key, at), and each
+    different place (k_id, k_key, k_at) gives one whose id, key, word and before are null. at: a word's number; or, of the word from
+    which the part is wanted backwards, -1 less that number.
     """
-    wanted = asked.groupBy("id", "key").agg(F.collect_set("at").alias("ats")).withColumnsRenamed({"id": "_id", "key": "_key"})
-    src = small_batches(_documents(docs, doc_id, text).join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "key", "text", "ats"))
-    lists = [T.StructField(n, T.ArrayType(t)) for n, t in (("words", T.StringType()), ("starts", T.IntegerType()))]
-    schema = T.StructType([src.schema["id"], T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType()), *lists])
+    src = _documents(docs, doc_id, text)
+    place = f"struct<at:int,word:int,before:boolean,k_id:{src.schema['id'].dataType.simpleString()},k_key:bigint,k_at:int>"
+    none = {"own": F.lit(None).cast(place), "kept": F.lit(None).cast("int")}
+    own = ends.select("id", "key", F.lit(None).cast("string").alias("text"), F.struct("at", "word", "before", "k_id", "k_key", "k_at").cast(place).alias("own"), none["kept"].alias("kept"))
+    kept = ends.select("k_id", "k_key", F.lit(None).cast("string"), none["own"], "k_at")
+    # a text meets what is asked of it in one shuffle, and equal rows are one
+    rows = src.select("id", "key", "text", *[c.alias(n) for n, c in none.items()]).union(own).union(kept)
+    asked = rows.groupBy("id", "key").agg(F.first("text", ignorenulls=True).alias("text"), F.collect_list("own").alias("own"), F.collect_set("kept").alias("kept"))
+    asked = small_batches(asked.where((F.size("own") > 0) | (F.size("kept") > 0)))
+    names = ["k_id", "k_key", "k_at", "id", "key", "word", "before", "words", "starts"]
+    id_type = src.schema["id"].dataType
+    kinds = [id_type, T.LongType(), T.IntegerType(), id_type, T.LongType(), T.IntegerType(), T.BooleanType(), T.StringType(), T.ArrayType(T.IntegerType())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(k) for k in kinds]
         for b in slices(batches, 2):
-            of, places, words, starts = [], [], [], []
-            for i, (t, ats) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            cols = [[] for _ in names]
+            for i, key, t, own, kept in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 p = Parts(t)
-                for at in ats:
+
+                def put(at: int, p=p) -> bool:
                     w = at if at >= 0 else -1 - at
                     if w >= len(p.starts):
-                        continue
+                        return False
                     part = int(np.searchsorted(p.stop, w, "right"))
                     a, z = (w, int(p.stop[part])) if at >= 0 else (int(p.first[part]), w + 1)
                     step = 1 if at >= 0 else -1
-                    of.append(i)
-                    places.append(at)
-                    words.append(p.text[p.starts[a] : p.ends[z - 1]].split()[::step])
-                    starts.append(p.starts[a:z][::step])
-            which = pa.array(of, pa.int64())
-            arrays = [pa.array(places, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *arrays], names=schema.names)
+                    cols[7].append(" ".join(p.text[p.starts[a] : p.ends[z - 1]].split()[::step]))
+                    cols[8].append(p.starts[a:z][::step])
+                    return True
 
-    # equal rows give equal parts
-    return src.mapInArrow(read, schema).dropDuplicates(["id", "key", "at"])
+                found = [(x["k_id"], x["k_key"], x["k_at"], i, key, x["word"], x["before"]) for x in own if put(x["at"])]
+                found += [(i, key, at, None, None, None, None) for at in kept if put(at)]
+                for c, values in zip(cols, zip(*found, strict=True), strict=False):
+                    c.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return asked.mapInArrow(read, T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]))
 
 
 def _extended(runs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -176,16 +191,12 @@ def _extended(runs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataF
         there = s["kept_word"] + at - s["word"]
         sign = (lambda x: -1 - x) if side == "left" else (lambda x: x)
         ends.append(runs.where((at >= 0) & (there >= 0)).select("id", "key", "word", F.lit(side == "left").alias("before"), sign(at).alias("at"), s["id"].alias("k_id"), s["key"].alias("k_key"), sign(there).alias("k_at")))
-    ends = ends[0].union(ends[1])
-    asked = ends.select("id", "key", "at").union(ends.select(F.col("k_id").alias("id"), F.col("k_key").alias("key"), F.col("k_at").alias("at")))
-    beside = written(_words_beside(docs, asked, doc_id, text), "words-beside")
-
-    def of(*names: str) -> DataFrame:
-        return beside.toDF(*[f"{n}_" for n in names])
-
-    own, kept = of("id", "key", "at", "own", "own_starts"), of("k_id", "k_key", "k_at", "kept", "kept_starts")
-    ends = ends.join(own, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("at") == F.col("at_")))
+    beside = written(_words_beside(docs, ends[0].union(ends[1]), doc_id, text), "words-beside")
+    # a run's own words meet those beside the place where it is kept
+    kept = beside.where("key IS NULL").select(F.col("k_id").alias("k_id_"), F.col("k_key").alias("k_key_"), F.col("k_at").alias("k_at_"), F.col("words").alias("kept_"), F.col("starts").alias("kept_starts_"))
+    ends = beside.where("key IS NOT NULL").withColumnsRenamed({"words": "own_", "starts": "own_starts_"})
     ends = ends.join(kept, F.col("k_id").eqNullSafe(F.col("k_id_")) & (F.col("k_key") == F.col("k_key_")) & (F.col("k_at") == F.col("k_at_")))
+    ends = ends.withColumns({"own_": F.split("own_", " "), "kept_": F.split("kept_", " ")})
     differ = F.array_position(F.zip_with("own_", "kept_", lambda x, y: x.eqNullSafe(y)), False)
     more = ends.withColumn("n", F.when(differ == 0, F.size("own_")).otherwise(differ - 1).cast("int")).where("n > 0")
     start = F.get("own_starts_", F.col("n") - 1)
