@@ -17,9 +17,8 @@ An empty table gives no rows; without training rows every word is equally new.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import partial
-from string import ascii_lowercase, ascii_uppercase
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +54,21 @@ def split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def split_lower(text: str) -> list[bytes]:
+    """Words with A-Z lower-cased, and no other letters: of bytes, lower() changes these only."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
 def shared_slot(word: bytes) -> int:
     """Slot of a word without one of its own: the class by its shape, the place by its hash."""
     shape = (65 <= word[0] <= 90) | (not word[-1:].isalnum() and word[-1] < 128) << 1 | (not word.isascii()) << 2
     return OWN + shape * WIDTH + xxhash.xxh64_intdigest(word) % WIDTH
 
 
+#: Stands for no number; less than any -1 - slot.
+_NEW = -1 - SLOTS
+
+
 class Vocabulary:
     """Slots and counts of the head, and the totals of all shared slots."""
 
@@ -78,8 +86,12 @@ class Vocabulary:
         """For each word its number in the head, or -1 - slot."""
         if len(self.rare) > 300_000:
             self.rare.clear()
-        get, rare = self.number.get, self.rare
-        return np.fromiter((x if (x := get(w)) is not None else rare[w] if w in rare else rare.setdefault(w, -1 - shared_slot(w)) for w in words), np.int64, len(words))
+        rare = self.rare
+        out = np.fromiter(map(self.number.get, words, repeat(_NEW)), np.int64, len(words))
+        new = np.flatnonzero(out == _NEW).tolist()
+        if new:
+            out[new] = [rare[w] if w in rare else rare.setdefault(w, -1 - shared_slot(w)) for w in map(words.__getitem__, new)]
+        return out
 
 
 def histories(slots: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -94,13 +106,13 @@ def histories(slots: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def features(slots: np.ndarray, h: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Weight rows of the class and of the slot in it, for each token."""
+    """Weight rows of the class and of the slot in it, for each token; the first of the class is one row for all."""
     one, two, three = h
     pair = one * 1_000_003 + two
     c = slots // WIDTH
     # sizes are powers of two; the high bits of a wrapped product are mixed best
     mixed = lambda x, salt, size: (x * 0x1E3779B97F4A7C15 + salt * 0x2545F4914F6CDD) >> 40 & (size - 1)
-    classes = [np.full(len(slots), _C[0]), _C[1] + one, _C[2] + mixed(pair, 1, _PAIRS), _C[3] + two, _C[4] + three]
+    classes = [_C[:1], _C[1] + one, _C[2] + mixed(pair, 1, _PAIRS), _C[3] + two, _C[4] + three]
     inner = [_S[0] + c, _S[1] + mixed(one * WIDTH + c, 2, _IN_CLASS), _S[2] + mixed(pair * WIDTH + c, 3, _IN_CLASS), _S[3] + mixed(two * WIDTH + c, 4, _IN_CLASS)]
     return classes, inner
 
@@ -110,9 +122,10 @@ _ONES = np.ones(WIDTH, np.float32)
 
 def _softmax(weights: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Odds of the WIDTH choices, their sums, and the natural logarithm of the target's probability."""
-    x = weights[rows[0]]
-    for r in rows[1:]:
-        x += weights[r]
+    x = weights.take(rows[1], axis=0)
+    x += weights.take(rows[0], axis=0) if len(rows[0]) > 1 else weights[rows[0]]
+    for r in rows[2:]:
+        x += weights.take(r, axis=0)
     np.clip(x, -60, 60, out=x)  # within what single precision can hold
     at = x[np.arange(len(x)), target]
     np.exp(x, out=x)
@@ -142,35 +155,58 @@ def train_on(weights: np.ndarray, seen: np.ndarray, squares: np.ndarray, slots:
             p /= total[:, None]
             p[np.arange(len(p)), target] -= 1
             for r, base in zip(rows, bases, strict=False):
+                if len(r) < len(p):
+                    steps.append((r, p.sum(0)[None], np.array([len(p)])))
+                    continue
                 # rows of a feature fit 16 bits, which sort fastest
                 own = (r - base).astype(np.uint16)
                 order = np.argsort(own, kind="stable")
                 sorted_rows = own[order]
                 first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                steps.append((sorted_rows[first] + base, _sums(p, order, first), np.diff(np.append(first, len(r)))))
+                n = np.diff(np.append(first, len(r)))
+                steps.append((sorted_rows[first] + base, _sums(p, order, first, n), n))
         for at, gradient, n in steps:
-            squares[at] += (gradient**2).mean(1)
-            weights[at] -= RATE * gradient / np.sqrt(squares[at] + 1e-6)[:, None]
+            squares[at] += np.square(gradient).mean(1)
+            gradient *= RATE
+            gradient /= np.sqrt(squares[at] + 1e-6)[:, None]
+            weights[at] = weights.take(at, axis=0) - gradient
             seen[at] += n
 
 
-def _sums(p: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the rows of p in groups of their order that start at first."""
-    return p.sum(0)[None] if len(first) == 1 else np.add.reduceat(p[order], first, axis=0)
+def _sums(p: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows of p in groups of n of their order that start at first.
+
+    Most groups are of one row or two; a sum of its own for each of these would take most of the time.
+    """
+    if len(first) == 1:
+        return p.sum(0)[None]
+    out = p.take(order[first], axis=0)
+    two = np.flatnonzero(n == 2)
+    out[two] += p.take(order[first[two] + 1], axis=0)
+    large = n > 2
+    if large.any():
+        sizes = n[large]
+        out[large] = np.add.reduceat(p.take(order[np.repeat(large, n)], axis=0), np.cumsum(sizes) - sizes, axis=0)
+    return out
 
 
-def _tokens(texts: list[str | None], vocabulary: Vocabulary) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words with an end, their numbers, slots, and where each text starts."""
-    words = [[*split(t or ""), END] for t in texts]
-    numbers = vocabulary.numbers([w for ws in words for w in ws])
+def _tokens(texts: list[str | None], vocabulary: Vocabulary, words_of: Callable[[str], list[bytes]] = split) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, each with an end, their numbers, slots, and where each text starts."""
+    words: list[bytes] = []
+    starts = []
+    for t in texts:
+        starts.append(len(words))
+        words += words_of(t or "")
+        words.append(END)
+    numbers = vocabulary.numbers(words)
     slots = np.where(numbers >= 0, vocabulary.slot[np.maximum(numbers, 0)] if len(vocabulary.slot) else 0, -1 - numbers)
-    return words, numbers, slots, np.concatenate([[0], np.cumsum([len(ws) for ws in words])[:-1]]).astype(np.int64)
+    return words, numbers, slots, np.array(starts, np.int64)
 
 
-def learn_vocabulary(training: DataFrame, text: str = "text") -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary of all training texts, and its table (word, n)."""
+def learn_vocabulary(training: DataFrame, text: str = "text", words_of: Callable[[str], list[bytes]] = split) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of all training texts, and its table (word, n). words_of: the words of a text, as also for train and score."""
     spark = training.sparkSession
-    words = count_words(training.select(F.col(text).cast("string")), split)
+    words = count_words(training.select(F.col(text).cast("string")), words_of)
     n_texts = training.count()
     if n_texts:
         words = words.union(spark.createDataFrame([(bytearray(END), n_texts)], "word binary, n bigint"))
@@ -196,7 +232,7 @@ def learn_vocabulary(training: DataFrame, text: str = "text") -> tuple[Vocabular
     return Vocabulary(head, total[0] or 0, total[1], tokens, distinct), words
 
 
-def train(training: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+def train(training: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, words_of: Callable[[str], list[bytes]] = split) -> np.ndarray:
     """Weights of all training texts; at the start they give every slot its share of the training tokens."""
     spark = training.sparkSession
     share = np.log(vocabulary.slot_tokens.reshape(WIDTH, WIDTH) + 0.5)
@@ -213,7 +249,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", t
         def change(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             mine, seen, squares = now.value.copy(), np.zeros(ROWS, np.float32), np.full(ROWS, 1.0, np.float32)
             for b in slices(batches, 0):
-                _, _, slots, starts = _tokens(b.column(0).to_pylist(), held.value)
+                _, _, slots, starts = _tokens(b.column(0).to_pylist(), held.value, words_of)
                 train_on(mine, seen, squares, slots, starts)
             mine -= now.value
             mine *= seen[:, None]
@@ -240,7 +276,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", t
     return weights
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, words: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, words: DataFrame, weights: np.ndarray, text: str = "text", words_of: Callable[[str], list[bytes]] = split) -> DataFrame:
     """docs without the text, with n_tokens, n_known, base_score and score; columns of these names give way."""
     spark = docs.sparkSession
     held, model = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(weights)
@@ -259,20 +295,25 @@ def score(docs: DataFrame, vocabulary: Vocabulary, words: DataFrame, weights: np
         v, task, row = held.value, TaskContext.get().partitionId(), 0
         each = math.log10(v.tokens + v.distinct + 1)
         for b in slices(batches, 0):
-            texts, numbers, slots, starts = _tokens(b.column(0).to_pylist(), v)
+            ws, numbers, slots, starts = _tokens(b.column(0).to_pylist(), v, words_of)
             known = numbers >= 0
             count = np.where(known, v.log_count[np.maximum(numbers, 0)] if len(v.log_count) else 0.0, 0.0)
             p = log_probabilities(model.value, slots, starts) + np.where(slots < OWN, 0.0, count - v.log_slot[slots])
             base = count - each
-            rare = []
-            for ws, a in zip(texts, starts.tolist(), strict=True):
-                new = np.flatnonzero(~known[a : a + len(ws)])
-                rare.append(list(Counter(ws[i] for i in new.tolist()).items()))
+            new = np.flatnonzero(~known)
+            cuts = [*np.searchsorted(new, starts).tolist(), len(new)]
+            rare, times, offsets = [], [], [0]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if z > a:
+                    seen = Counter(map(ws.__getitem__, new[a:z].tolist()))
+                    rare += seen
+                    times += seen.values()
+                offsets.append(len(rare))
+            rare = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
             sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, p)]
-            keys = pa.array([f"{task}-{row + i}" for i in range(len(texts))])
-            row += len(texts)
-            kinds = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-            cols = [keys, pa.array([len(ws) for ws in texts], pa.int64()), *map(pa.array, sums), pa.array([[{"word": w, "n": n} for w, n in x] for x in rare], kinds)]
+            keys = pa.array([f"{task}-{row + i}" for i in range(len(starts))])
+            row += len(starts)
+            cols = [keys, pa.array(np.diff(np.append(starts, len(ws)))), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=names)
 
     rated = written(src.mapInArrow(rate, f"{fields}, {ddl}" if fields else ddl), "scores")
@@ -288,10 +329,9 @@ def held_out(doc_id: str) -> Column:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lower = F.translate("text", ascii_uppercase, ascii_lowercase).alias("text")  # A-Z only, not as lower() does
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lower, held_out("doc_id").alias("held_out"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held_out("doc_id").alias("held_out"))
     training = docs.where("not held_out")
-    vocabulary, words = learn_vocabulary(training)
-    weights = train(training, vocabulary)
-    scored = score(docs, vocabulary, words, weights)
+    vocabulary, words = learn_vocabulary(training, words_of=split_lower)
+    weights = train(training, vocabulary, words_of=split_lower)
+    scored = score(docs, vocabulary, words, weights, words_of=split_lower)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
