@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -269,15 +269,24 @@ def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
                 n = len(k)
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x, np.int64)) for x in (node, label, n)], pa.array(k)], names=["node", "label", "size", "kmer"])
 
-    rows = small_batches(texts.select("node", "label", "text")).mapInArrow(spread, "node bigint, label bigint, size bigint, kmer bigint")
-    common = written(rows.groupBy("kmer").agg(F.count("*").alias("texts")).where("texts > 1"), "common")
-    # k-mers of one text only match nothing, and are its rarest: they need no rows but their number
+    def kmers_of(some: DataFrame) -> DataFrame:
+        return small_batches(some.select("node", "label", "text")).mapInArrow(spread, "node bigint, label bigint, size bigint, kmer bigint")
+
+    def reach(size: Column) -> Column:
+        return size - up(size * least) + 1
+
+    up = lambda x: F.ceil(x - 1e-9)
+    # a text has a k-mer once, so that of one text only has its node and size
+    counted = written(kmers_of(texts).groupBy("kmer").agg(F.count("*").alias("texts"), F.min("node").alias("node"), F.min("size").alias("size")), "counted")
+    common = counted.where("texts > 1").select("kmer", "texts")
+    # k-mers of one text only match nothing, and are its rarest: texts of too many of them need no rows, the others' own none but their number
+    own = counted.where("texts = 1").groupBy("node").agg(F.count("*").alias("own"), F.min("size").alias("size"))
+    rows = kmers_of(texts.join(own.where(F.col("own") >= reach(F.col("size"))), "node", "left_anti"))
     shared = rows.join(common, "kmer")
     order = W.partitionBy("node").orderBy("texts", "kmer")
     place = F.row_number().over(order) + F.col("size") - F.count("*").over(W.partitionBy("node"))
     share = least / (1 + least)  # of both sizes, that must be shared
-    up = lambda x: F.ceil(x - 1e-9)
-    first = shared.withColumn("place", place).where(F.col("place") <= F.col("size") - up(F.col("size") * least) + 1)
+    first = shared.withColumn("place", place).where(F.col("place") <= reach(F.col("size")))
     first = written(first.select("node", "label", "size", "kmer", "place"), "rare")
     # a k-mer's members of its largest class meet its others only, not each other
     counts = first.groupBy("kmer", "label").agg(F.count("*").alias("n"))
