@@ -1,8 +1,10 @@
 """Pairs by rarest k-mers: none is lost, and a passage that many texts share makes none."""
 
+import math
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tidemark.llm import near
@@ -47,3 +49,65 @@ def test_members_of_one_class_make_no_pairs(spark):
     base = words(100)
     rows = [(i, " ".join([*base[:50], f"x{i}", *base[50:]]), -1) for i in range(200)] + [(500, " ".join(base), -2)]
     assert pairs(spark, rows) == {(i, 500) for i in range(200)}
+
+
+@pytest.mark.parametrize("held", [0, 30, 65_536])
+def test_any_number_of_held_kmers_gives_the_same_pairs(spark, monkeypatch, held):
+    made = random.Random(3)
+    base = [f"v{made.randrange(10**9)}" for _ in range(60)]
+    texts = []
+    for i in range(60):
+        text = base[made.randint(0, 3) : 60 - made.randint(0, 3)]
+        for j in range(made.randint(0, 2)):
+            text[made.randrange(len(text))] = f"x{made.randrange(6)}"
+        texts.append(" ".join(text))
+    rows = [(i, t, i % 7) for i, t in enumerate(texts)] + [(100, "", 100), (101, None, 101)]
+    monkeypatch.setattr(near, "HELD_KMERS", held)
+    got = pairs(spark, rows)
+    # by the definition: a k-mer within reach on both sides, with enough behind it
+    lists = {n: near.labelled(near.kmers(near._split(t), {})).view("int64").tolist() for n, t, _ in rows if t}
+    counts = {}
+    for k in lists.values():
+        for x in k:
+            counts[x] = counts.get(x, 0) + 1
+    up = lambda x: math.ceil(x - 1e-9)
+    places = {n: {x: p for p, x in enumerate(sorted(k, key=lambda x: (counts[x], x)), 1)} for n, k in lists.items()}
+    want = set()
+    for a, b in combinations(lists, 2):
+        s, t = sorted((a, b), key=lambda n: (len(lists[n]), n))
+        n, m = len(lists[s]), len(lists[t])
+        near_enough = any(places[s][x] <= n - up(n * 2 * 0.8 / 1.8) + 1 and places[t][x] <= m - up(m * 0.8) + 1 and 1 + min(n - places[s][x], m - places[t][x]) >= up((n + m) * 0.8 / 1.8) for x in places[s].keys() & places[t].keys())
+        if a % 7 != b % 7 and n >= m * 0.8 - 1e-9 and near_enough:
+            want.add((a, b))
+    assert len(want) > 100 and got == want
+
+
+def test_kmers_of_many_texts_are_not_joined_with_their_counts(spark, monkeypatch):
+    passage = words(60)
+    rows = [(i, " ".join(passage + words(2)), i % 2) for i in range(100)]
+    seen = {}
+    monkeypatch.setattr(near, "written", lambda df, name: seen.setdefault(name, df.localCheckpoint()))
+    pairs(spark, rows)
+    # 56 k-mers of the passage in each text: of these go out those of the rarest 12 that are not the text's own two
+    assert seen["spread"].where("place IS NULL").count() == 200
+    assert seen["spread"].where("place IS NOT NULL").count() == 100 * 10
+
+
+def test_samples_of_many_texts_are_folded_as_those_of_one():
+    made = np.random.default_rng(5)
+    texts = [made.integers(0, 2**64, n, np.uint64) for n in (1, 2, 3, 5, 12, 15, 16, 40, 70, 70, 300, 5000)]
+    texts.append(texts[-1][made.integers(0, 50, 400)])
+    for hashes, buckets in zip(texts, near.buckets_of_all(texts), strict=True):
+        want = []
+        for i in near.tiers_of(len(hashes)):
+            _, count, samples = near.TIERS[i]
+            for j in range(samples):
+                v = (hashes >> np.uint64(32)).astype(np.uint32) * near._ODD[j] + near._ADD[j]
+                v ^= v >> np.uint32(15)
+                v *= np.uint32(0x2C1B3C6D)
+                v ^= v >> np.uint32(13)
+                x = np.array([min(count, len(hashes))], np.uint64)
+                for place in sorted(np.lexsort((np.arange(len(v)), v))[:count]):
+                    x = near._mix(x * near._G1 + hashes[place])
+                want.append(near._mix(x * near._G1 + np.uint64(j + 1000 * i))[0])
+        assert buckets.dtype == np.int64 and buckets.view(np.uint64).tolist() == [int(x) for x in want]

@@ -19,7 +19,9 @@ are told apart by 64-bit hashes. Every row gets a class, repeated rows too, and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ _ODD, _ADD = _SEEDS[0] | np.uint32(1), _SEEDS[1]
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Members of a bucket that all lead, if they have to: no member is aligned with more than so many others in it for that.
 EXHAUSTED = 32
+#: K-mers of the most texts that all tasks hold with their counts, so that none of their rows is joined for it.
+HELD_KMERS = 65_536
 #: Hash values held at a time for one text.
 _AT_ONCE = 2_000_000
 
@@ -81,43 +85,77 @@ def tiers_of(n: int) -> list[int]:
     return [i for i, (low, high) in enumerate(zip([1, *edges], edges, strict=False)) if low * SIMILARITY <= n < high / SIMILARITY]
 
 
-def samples_of(hashes: np.ndarray, count: int, samples: int) -> np.ndarray:
-    """One 64-bit value for each sample: the count k-mers of least hash, in the order of the text."""
+def sampled(hashes: np.ndarray, count: int, samples: int) -> np.ndarray:
+    """For each sample, a row of the count k-mers of least hash (all, if fewer), in the order of the text."""
     n = len(hashes)
     count = min(count, n)
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty(samples, np.uint64)
+    chosen = np.empty((samples, count), np.int64)
     # nearly always this many of the smallest hold the count that is sought
     share = (count + 6 * count**0.5 + 8) / n
     step = max(1, _AT_ONCE // n)
+    # sorted as one number: sample, hash and place, of which the first and last have at most 22 bits, or the last 32 alone
+    bits = np.uint64(n.bit_length())
+    place = (np.uint64(1) << bits) - np.uint64(1)
     for a in range(0, samples, step):
-        v = low[None, :] * _ODD[a : min(a + step, samples), None] + _ADD[a : min(a + step, samples), None]
+        v = low[None, :] * _ODD[a : min(a + step, samples), None]
+        v += _ADD[a : min(a + step, samples), None]
         v ^= v >> np.uint32(15)
         v *= np.uint32(0x2C1B3C6D)
         v ^= v >> np.uint32(13)
-        rows, places = np.nonzero(v < np.uint32(share * 2**32)) if share < 0.5 else (np.repeat(np.arange(len(v)), n), np.tile(np.arange(n), len(v)))
-        sizes = np.bincount(rows, minlength=len(v))
-        if sizes.min() < count:
-            rows, places = np.repeat(np.arange(len(v)), n), np.tile(np.arange(n), len(v))
-            sizes = np.full(len(v), n)
-        order = np.lexsort((places, v[rows, places], rows))
-        starts = np.cumsum(sizes) - sizes
-        chosen = np.sort(places[order[starts[:, None] + np.arange(count)]], axis=1)
-        got = hashes[chosen]
-        x = np.full(len(v), np.uint64(count))
-        for j in range(count):
-            x = _mix(x * _G1 + got[:, j])
-        out[a : a + step] = x
-    return out
+        least = None
+        if share < 0.5:
+            flat = v.reshape(-1)
+            at = np.flatnonzero(flat < np.uint32(share * 2**32))
+            rows = at // n
+            sizes = np.bincount(rows, minlength=len(v))
+            if sizes.min() >= count:
+                low_bits = (flat[at].astype(np.uint64) << bits) | (at - rows * n).astype(np.uint64)
+                keys = np.sort((rows.astype(np.uint64) << (bits + np.uint64(32))) | low_bits)
+                least = keys[(np.cumsum(sizes) - sizes)[:, None] + np.arange(count)]
+        if least is None:
+            keys = (v.astype(np.uint64) << bits) | np.arange(n, dtype=np.uint64)
+            keys.sort(axis=1)
+            least = keys[:, :count]
+        chosen[a : a + step] = np.sort(least & place, axis=1)
+    return hashes[chosen]
+
+
+def _folded(rows: np.ndarray) -> np.ndarray:
+    """One 64-bit value for each row."""
+    x = np.full(len(rows), np.uint64(rows.shape[1]))
+    for j in range(rows.shape[1]):
+        x = _mix(x * _G1 + rows[:, j])
+    return x
+
+
+def samples_of(hashes: np.ndarray, count: int, samples: int) -> np.ndarray:
+    """One 64-bit value for each sample of a text."""
+    return _folded(sampled(hashes, count, samples))
+
+
+def buckets_of_all(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Signed 64-bit buckets of each text's labelled k-mers, of which it has any; tier and sample are hashed in.
+
+    Samples of one size are folded together: steps on the few samples of one text cost mostly their calls.
+    """
+    parts: list[list[np.ndarray]] = [[] for _ in texts]
+    for i, (_, count, samples) in enumerate(TIERS):
+        sizes: dict[int, list[int]] = {}
+        for t, hashes in enumerate(texts):
+            if i in tiers_of(len(hashes)):
+                sizes.setdefault(min(count, len(hashes)), []).append(t)
+        of_sample = np.arange(samples, dtype=np.uint64) + np.uint64(1000 * i)
+        for members in sizes.values():
+            x = _folded(np.concatenate([sampled(texts[t], count, samples) for t in members])).reshape(len(members), samples)
+            for t, row in zip(members, _mix(x * _G1 + of_sample).view(np.int64), strict=True):
+                parts[t].append(row)
+    return [np.concatenate(p) for p in parts]
 
 
 def buckets_of(hashes: np.ndarray) -> np.ndarray:
-    """Signed 64-bit buckets of the labelled k-mers of a text that has any; tier and sample are hashed in."""
-    out = []
-    for i in tiers_of(len(hashes)):
-        _, count, samples = TIERS[i]
-        out.append(_mix(samples_of(hashes, count, samples) * _G1 + np.arange(samples, dtype=np.uint64) + np.uint64(1000 * i)))
-    return np.concatenate(out).view(np.int64)
+    """Buckets of one text."""
+    return buckets_of_all([hashes])[0]
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -181,9 +219,8 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
             found = {}
             for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if node not in found and (words := _split(t)):
-                    k = labelled(kmers(words, known))
-                    found[node] = len(k), buckets_of(k)
-            sizes, buckets = [x for x, _ in found.values()], [x for _, x in found.values()]
+                    found[node] = labelled(kmers(words, known))
+            sizes, buckets = [len(k) for k in found.values()], buckets_of_all(list(found.values()))
             flat = pa.array(np.concatenate(buckets) if buckets else np.empty(0, np.int64))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in buckets])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["node", "size", "buckets"])
@@ -259,35 +296,55 @@ def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
     the smaller text fewer than of the larger one, as a larger one may have more of its own. What is left of both
     texts behind that k-mer, in order of rarity, must also suffice. So texts whose own k-mers are too many to reach the
     similarity with a text of their size or more make no row on that side, however many share a passage with them.
+    The k-mers of the most texts are known to all tasks, which leave out those that can't be among a text's rarest; a
+    row of any other is joined with its count.
     """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kmers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         known: dict[bytes, int] = {}
         for b in slices(batches, 2):
             for node, label, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                k = labelled(kmers(_split(t), known)).view(np.int64)
-                n = len(k)
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x, np.int64)) for x in (node, label, n)], pa.array(k)], names=["node", "label", "size", "kmer"])
+                if words := _split(t):
+                    yield node, label, labelled(kmers(words, known)).view(np.int64)
 
-    def kmers_of(some: DataFrame) -> DataFrame:
-        return small_batches(some.select("node", "label", "text")).mapInArrow(spread, "node bigint, label bigint, size bigint, kmer bigint")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, _, k in kmers_of(batches):
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(k), x, np.int64)) for x in (node, len(k))], pa.array(k)], names=["node", "size", "kmer"])
+
+    def rarest(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """K-mers that are not held, of places not yet known, and behind them the held ones within reach: these are commoner."""
+        held, texts_of = shared.value
+        for node, label, k in kmers_of(batches):
+            n, at = len(k), np.searchsorted(held, k)
+            hit = np.append(held, 0)[at] == k
+            hit &= at < len(held)
+            others, own = k[~hit], k[hit]
+            own = own[np.lexsort((own, texts_of[at[hit]]))[: max(0, n - math.ceil(n * least - 1e-9) + 1 - len(others))]]
+            out = np.concatenate([others, own])
+            fixed = [pa.array(np.full(len(out), x, np.int64)) for x in (node, label, n, hit.sum())]
+            place = pa.array(np.arange(1, len(out) + 1), mask=np.arange(len(out)) < len(others))
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(out), place], names=["node", "label", "size", "held", "kmer", "place"])
 
     def reach(size: Column) -> Column:
         return size - up(size * least) + 1
 
     up = lambda x: F.ceil(x - 1e-9)
+    texts = texts.select("node", "label", "text")
     # a text has a k-mer once, so that of one text only has its node and size
-    counted = written(kmers_of(texts).groupBy("kmer").agg(F.count("*").alias("texts"), F.min("node").alias("node"), F.min("size").alias("size")), "counted")
+    counted = written(small_batches(texts).mapInArrow(spread, "node bigint, size bigint, kmer bigint").groupBy("kmer").agg(F.count("*").alias("texts"), F.min("node").alias("node"), F.min("size").alias("size")), "counted")
     common = counted.where("texts > 1").select("kmer", "texts")
     # k-mers of one text only match nothing, and are its rarest: texts of too many of them need no rows, the others' own none but their number
     own = counted.where("texts = 1").groupBy("node").agg(F.count("*").alias("own"), F.min("size").alias("size"))
-    rows = kmers_of(texts.join(own.where(F.col("own") >= reach(F.col("size"))), "node", "left_anti"))
-    shared = rows.join(common, "kmer")
+    held, joined = _commonest(common, HELD_KMERS)
+    rows = small_batches(texts.join(own.where(F.col("own") >= reach(F.col("size"))), "node", "left_anti"))
+    held = texts.sparkSession.sparkContext.broadcast(held)  # at most HELD_KMERS entries
+    rows = written(rows.mapInArrow(partial(rarest, held), "node bigint, label bigint, size bigint, held bigint, kmer bigint, place bigint"), "spread")
     order = W.partitionBy("node").orderBy("texts", "kmer")
-    place = F.row_number().over(order) + F.col("size") - F.count("*").over(W.partitionBy("node"))
+    place = F.row_number().over(order) + F.col("size") - F.col("held") - F.count("*").over(W.partitionBy("node"))
     share = least / (1 + least)  # of both sizes, that must be shared
-    first = shared.withColumn("place", place).where(F.col("place") <= reach(F.col("size")))
-    first = written(first.select("node", "label", "size", "kmer", "place"), "rare")
+    first = rows.where("place IS NULL").join(joined, "kmer").withColumn("place", place).where(F.col("place") <= reach(F.col("size")))
+    columns = ["node", "label", "size", "kmer", "place"]
+    first = written(first.select(columns).union(rows.where("place IS NOT NULL").select(columns)), "rare")
     # a k-mer's members of its largest class meet its others only, not each other
     counts = first.groupBy("kmer", "label").agg(F.count("*").alias("n"))
     largest = counts.groupBy("kmer").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
@@ -302,6 +359,23 @@ def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
+def _commonest(counts: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+    """At most most rows of counts (kmer, texts), as arrays by kmer, and the rows beside them: none of these has as many texts as any of those.
+
+    Counts are taken by classes of about equal ones, each whole or not at all.
+    """
+    kind = F.floor(F.log2("texts") * 16)
+    total, least = 0, None
+    for r in counts.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("kind")).collect():  # 16 * log2 of the largest count
+        total += r["n"]
+        if total > most:
+            break
+        least = r["kind"]
+    rows = sorted((r["kmer"], r["texts"]) for r in counts.where(kind >= least).collect()) if least is not None else []
+    held = np.array(rows, np.int64).reshape(-1, 2)
+    return (held[:, 0].copy(), held[:, 1].copy()), counts if least is None else counts.where(kind < least)
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels after links between nodes; classes are joined by their labels."""
     ends = links
