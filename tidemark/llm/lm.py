@@ -7,8 +7,9 @@ words two and three back. The last is a smoothed share of the slot's training to
 
 Training takes rounds over disjoint folds of the documents. In a round each task starts from the same weights, makes
 gradient steps over its own documents, and hands on its change of each weight row with the row's tokens; changes are
-averaged by those. Weights are of a fixed size; counts grow with the corpus and stay in a table. Scoring looks the
-counts of rare words up by a join of (document, word) rows, and those of the HEAD most frequent in a broadcast table.
+averaged by those. Weights are of a fixed size; counts grow with the corpus and stay in a table. Words are looked up once
+a text, in a broadcast table of the HEAD most frequent, and their numbers written for training and scoring; the counts
+of rare words come by a join of (document, word) rows.
 
 Null texts count as empty: they have their end only. Rows with a null id train. Each row is scored, repeated ones too.
 An empty table gives no rows; without training rows every word is equally new.
@@ -22,9 +23,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.shared import slices, small_batches, written
 from tidemark.llm.words import count_words, most_frequent
@@ -48,6 +51,10 @@ _C = np.cumsum([0, 1, SLOTS + 1, _PAIRS, SLOTS + 1, SLOTS + 1])
 _S = _C[-1] + np.cumsum([0, WIDTH, _IN_CLASS, _IN_CLASS, _IN_CLASS])
 ROWS = int(_S[-1])
 _BLOCK = 256
+#: Rows that numpy adds up without halving them.
+_PART = 128
+#: Columns that stand for a text.
+_NUMBERED = {"_lm_key": "bigint", "_lm_bytes": "int", "_lm_numbers": "binary", "_lm_rare": "array<struct<word:binary,n:bigint>>"}
 
 
 def split(text: str) -> list[bytes]:
@@ -154,6 +161,7 @@ def train_on(weights: np.ndarray, seen: np.ndarray, squares: np.ndarray, slots:
             p, total, _ = _softmax(weights, rows, target)
             p /= total[:, None]
             p[np.arange(len(p)), target] -= 1
+            groups = []
             for r, base in zip(rows, bases, strict=False):
                 if len(r) < len(p):
                     steps.append((r, p.sum(0)[None], np.array([len(p)])))
@@ -164,7 +172,13 @@ def train_on(weights: np.ndarray, seen: np.ndarray, squares: np.ndarray, slots:
                 sorted_rows = own[order]
                 first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
                 n = np.diff(np.append(first, len(r)))
-                steps.append((sorted_rows[first] + base, _sums(p, order, first, n), n))
+                if len(first) == 1:
+                    steps.append((sorted_rows[first] + base, _sums(p, order, first, n), n))
+                else:
+                    groups.append((sorted_rows[first] + base, order, first + len(r) * len(groups), n))
+            if groups:
+                at, order, first, n = map(np.concatenate, zip(*groups, strict=True))
+                steps.append((at, _all_sums(p, order, first, n), n))
         for at, gradient, n in steps:
             squares[at] += np.square(gradient).mean(1)
             gradient *= RATE
@@ -190,17 +204,124 @@ def _sums(p: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) ->
     return out
 
 
-def _tokens(texts: list[str | None], vocabulary: Vocabulary, words_of: Callable[[str], list[bytes]] = split) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts, each with an end, their numbers, slots, and where each text starts."""
+def _all_sums(p: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """_sums of the groups of several orders at once, bit for bit: steps take a row or eight of every group they concern.
+
+    As there, a group is its first row and the others in pairs: halves of those over 128, of whole eights where they can
+    be; in each part a sum for each of eight places, these in pairs, and what is left row by row.
+    """
+    out = p.take(order[first], axis=0)
+    some = np.flatnonzero((n > 1) & (n <= _PART + 1))
+    starts, sizes = [first[some] + 1], [n[some] - 1]
+    many = np.flatnonzero(n > _PART + 1).tolist()
+    parts: list[tuple[int, int]] = []
+
+    def halved(start: int, size: int):
+        if size <= _PART:
+            parts.append((start, size))
+            return len(some) + len(parts) - 1
+        half = size // 2 // 8 * 8
+        return halved(start, half), halved(start + half, size - half)
+
+    trees = [halved(int(first[g]) + 1, int(n[g]) - 1) for g in many]
+    if parts:
+        starts.append(np.array([a for a, _ in parts]))
+        sizes.append(np.array([z for _, z in parts]))
+    sums = _part_sums(p, order, np.concatenate(starts), np.concatenate(sizes))
+    out[some] += sums[: len(some)]
+
+    def joined(tree) -> np.ndarray:
+        return sums[tree] if isinstance(tree, int) else joined(tree[0]) + joined(tree[1])
+
+    for g, tree in zip(many, trees, strict=True):
+        out[g] += joined(tree)
+    return out
+
+
+def _part_sums(p: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the parts of order that start at starts, of at most _PART rows each."""
+    by = np.argsort(sizes.astype(np.uint8), kind="stable")[::-1]
+    starts, sizes = starts[by], sizes[by]
+    eights = sizes // 8
+    some = int(np.count_nonzero(eights))
+    sums = np.empty((len(sizes), p.shape[1]), p.dtype)
+    if some:
+        at = starts[:some, None] + np.arange(8)
+        x = p.take(order[at], axis=0)
+        for k, c in enumerate(np.searchsorted(-eights, -np.arange(1, eights[0])).tolist(), 1):  # c: parts of more than k eights
+            x[:c] += p.take(order[at[:c] + 8 * k], axis=0)
+        x = x[:, ::2] + x[:, 1::2]
+        x = x[:, ::2] + x[:, 1::2]
+        np.add(x[:, 0], x[:, 1], out=sums[:some])
+    sums[some:] = p.take(order[starts[some:]], axis=0)
+    done = np.where(eights > 0, eights * 8, 1)
+    left = sizes - done
+    for k in range(7):
+        at = np.flatnonzero(left > k)
+        if not len(at):
+            break
+        sums[at] += p.take(order[starts[at] + done[at] + k], axis=0)
+    out = np.empty_like(sums)
+    out[by] = sums
+    return out
+
+
+def _tokens(texts: list[str | None], vocabulary: Vocabulary, words_of: Callable[[str], list[bytes]] = split) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words of all texts, each with an end, their numbers, and where each text starts."""
     words: list[bytes] = []
     starts = []
     for t in texts:
         starts.append(len(words))
         words += words_of(t or "")
         words.append(END)
-    numbers = vocabulary.numbers(words)
+    return words, vocabulary.numbers(words), np.array(starts, np.int64)
+
+
+def number(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", words_of: Callable[[str], list[bytes]] = split) -> DataFrame:
+    """docs with what train and score read in place of the text, so that its words are looked up once; written to the shared folder.
+
+    That is a key of the row, the text's bytes, the numbers of its words, and its words beside the head with their counts.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kept = [c for c in docs.columns if c != text and c not in _NUMBERED]
+    src = small_batches(docs.select(F.col(text).cast("string").alias("_lm_text"), *[F.col(f"`{c}`") for c in kept]))
+    schema = T.StructType([*[docs.schema[c] for c in kept], *T._parse_datatype_string(", ".join(f"{c} {t}" for c, t in _NUMBERED.items())).fields])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import Counter
+
+        from pyspark import TaskContext
+
+        v, row = held.value, TaskContext.get().partitionId() << 40
+        for b in slices(batches, 0):
+            words, numbers, starts = _tokens(b.column(0).to_pylist(), v, words_of)
+            new = np.flatnonzero(numbers < 0)
+            cuts = [*np.searchsorted(new, starts).tolist(), len(new)]
+            rare, times, offsets = [], [], [0]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if z > a:
+                    seen = Counter(map(words.__getitem__, new[a:z].tolist()))
+                    rare += seen
+                    times += seen.values()
+                offsets.append(len(rare))
+            rare = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+            ends = np.append(starts, len(words)).astype(np.int32)
+            flat = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(numbers.astype(np.int32))])
+            size = pc.fill_null(pc.binary_length(b.column(0)), 0)
+            cols = [pa.array(row + np.arange(len(starts))), size, flat, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)]
+            row += len(starts)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=schema.names)
+
+    return written(src.mapInArrow(look_up, schema), "numbers")
+
+
+def _numbers(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words of all texts, their slots, and where each text starts."""
+    texts = column.to_pylist()
+    numbers = np.frombuffer(b"".join(texts), np.int32).astype(np.int64)
     slots = np.where(numbers >= 0, vocabulary.slot[np.maximum(numbers, 0)] if len(vocabulary.slot) else 0, -1 - numbers)
-    return words, numbers, slots, np.array(starts, np.int64)
+    sizes = np.array([len(t) // 4 for t in texts], np.int64)
+    return numbers, slots, np.cumsum(sizes) - sizes
 
 
 def learn_vocabulary(training: DataFrame, text: str = "text", words_of: Callable[[str], list[bytes]] = split) -> tuple[Vocabulary, DataFrame]:
@@ -233,8 +354,10 @@ def learn_vocabulary(training: DataFrame, text: str = "text", words_of: Callable
 
 
 def train(training: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, words_of: Callable[[str], list[bytes]] = split) -> np.ndarray:
-    """Weights of all training texts; at the start they give every slot its share of the training tokens."""
+    """Weights of all training texts, as number gives them or plain; at the start they give every slot its share of the training tokens."""
     spark = training.sparkSession
+    if "_lm_numbers" not in training.columns:
+        training, doc_id = number(training.select(F.col(doc_id).alias("_lm_id"), text), vocabulary, text, words_of), "_lm_id"
     share = np.log(vocabulary.slot_tokens.reshape(WIDTH, WIDTH) + 0.5)
     weights = np.zeros((ROWS, WIDTH), np.float32)
     by_class = np.log(np.exp(share).sum(1))
@@ -244,12 +367,12 @@ def train(training: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", t
     tasks = max(1, math.ceil(vocabulary.tokens / rounds / TASK_TOKENS))
     for i in range(rounds):
         now = spark.sparkContext.broadcast(weights)  # ROWS * WIDTH numbers
-        fold = training.where(F.pmod(F.xxhash64(doc_id, F.lit("round")), F.lit(rounds)) == i).select(F.col(text).cast("string"))
+        fold = training.where(F.pmod(F.xxhash64(doc_id, F.lit("round")), F.lit(rounds)) == i).select("_lm_bytes", "_lm_numbers")
 
         def change(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             mine, seen, squares = now.value.copy(), np.zeros(ROWS, np.float32), np.full(ROWS, 1.0, np.float32)
             for b in slices(batches, 0):
-                _, _, slots, starts = _tokens(b.column(0).to_pylist(), held.value, words_of)
+                _, slots, starts = _numbers(b.column(1), held.value)
                 train_on(mine, seen, squares, slots, starts)
             mine -= now.value
             mine *= seen[:, None]
@@ -277,49 +400,33 @@ def train(training: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", t
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, words: DataFrame, weights: np.ndarray, text: str = "text", words_of: Callable[[str], list[bytes]] = split) -> DataFrame:
-    """docs without the text, with n_tokens, n_known, base_score and score; columns of these names give way."""
+    """docs, as number gives them or plain, without the text, with n_tokens, n_known, base_score and score; columns of these names give way."""
     spark = docs.sparkSession
+    if "_lm_numbers" not in docs.columns:
+        docs = number(docs, vocabulary, text, words_of)
     held, model = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(weights)
     own = {"n_tokens", "n_known", "base_score", "score"}
-    kept = [c for c in docs.columns if c != text and c.lower() not in own]
-    src = small_batches(docs.select(F.col(text).cast("string").alias("_lm_text"), *[F.col(f"`{c}`") for c in kept]))
-    ddl = "_lm_key string, n_tokens bigint, n_known bigint, base_score double, score double, _lm_rare array<struct<word:binary,n:bigint>>"
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    names = [*kept, *[f.split()[0] for f in ddl.split(", ")]]
+    kept = [c for c in docs.columns if c not in _NUMBERED and c.lower() not in own]
+    src = small_batches(docs.select("_lm_bytes", "_lm_numbers", "_lm_key", *[F.col(f"`{c}`") for c in kept]))
+    schema = T.StructType([docs.schema["_lm_key"], *[docs.schema[c] for c in kept], *T._parse_datatype_string("n_tokens bigint, n_known bigint, base_score double, score double").fields])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        from pyspark import TaskContext
-
-        v, task, row = held.value, TaskContext.get().partitionId(), 0
+        v = held.value
         each = math.log10(v.tokens + v.distinct + 1)
         for b in slices(batches, 0):
-            ws, numbers, slots, starts = _tokens(b.column(0).to_pylist(), v, words_of)
+            numbers, slots, starts = _numbers(b.column(1), v)
             known = numbers >= 0
             count = np.where(known, v.log_count[np.maximum(numbers, 0)] if len(v.log_count) else 0.0, 0.0)
             p = log_probabilities(model.value, slots, starts) + np.where(slots < OWN, 0.0, count - v.log_slot[slots])
             base = count - each
-            new = np.flatnonzero(~known)
-            cuts = [*np.searchsorted(new, starts).tolist(), len(new)]
-            rare, times, offsets = [], [], [0]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                if z > a:
-                    seen = Counter(map(ws.__getitem__, new[a:z].tolist()))
-                    rare += seen
-                    times += seen.values()
-                offsets.append(len(rare))
-            rare = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
             sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, p)]
-            keys = pa.array([f"{task}-{row + i}" for i in range(len(starts))])
-            row += len(starts)
-            cols = [keys, pa.array(np.diff(np.append(starts, len(ws)))), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=names)
+            cols = [pa.array(np.diff(np.append(starts, len(slots)))), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], *cols], names=schema.names)
 
-    rated = written(src.mapInArrow(rate, f"{fields}, {ddl}" if fields else ddl), "scores")
-    rare = rated.select("_lm_key", F.inline("_lm_rare"))
+    rated = written(src.mapInArrow(rate, schema), "scores")
+    rare = docs.select("_lm_key", F.inline("_lm_rare"))
     found = rare.join(words.withColumnRenamed("n", "c"), "word").groupBy("_lm_key").agg(F.sum("n").alias("_lm_n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("_lm_more"))
-    full = rated.drop("_lm_rare").join(found, "_lm_key", "left")
+    full = rated.join(found, "_lm_key", "left")
     more = F.coalesce("_lm_more", F.lit(0.0))
     return full.select(*[F.col(f"`{c}`") for c in kept], "n_tokens", (F.col("n_known") + F.coalesce("_lm_n", F.lit(0))).alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
 
@@ -332,6 +439,6 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held_out("doc_id").alias("held_out"))
     training = docs.where("not held_out")
     vocabulary, words = learn_vocabulary(training, words_of=split_lower)
-    weights = train(training, vocabulary, words_of=split_lower)
-    scored = score(docs, vocabulary, words, weights, words_of=split_lower)
+    texts = number(docs, vocabulary, words_of=split_lower)
+    scored = score(texts, vocabulary, words, train(texts.where("not held_out"), vocabulary))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
