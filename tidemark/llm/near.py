@@ -46,6 +46,8 @@ _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 EXHAUSTED = 32
 #: K-mers of the most texts that all tasks hold with their counts, so that none of their rows is joined for it.
 HELD_KMERS = 65_536
+#: K-mers that a task adds up before it hands them on.
+SUMMED_KMERS = 1_000_000
 #: Hash values held at a time for one text.
 _AT_ONCE = 2_000_000
 
@@ -308,8 +310,8 @@ def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
                     yield node, label, labelled(kmers(words, known)).view(np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, _, k in kmers_of(batches):
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(k), x, np.int64)) for x in (node, len(k))], pa.array(k)], names=["node", "size", "kmer"])
+        for x in _added_up((np.stack([k, np.ones_like(k), np.full_like(k, node), np.full_like(k, len(k))]) for node, _, k in kmers_of(batches)), SUMMED_KMERS):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x)], names=["kmer", "texts", "node", "size"])
 
     def rarest(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """K-mers that are not held, of places not yet known, and behind them the held ones within reach: these are commoner."""
@@ -329,9 +331,11 @@ def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
         return size - up(size * least) + 1
 
     up = lambda x: F.ceil(x - 1e-9)
-    texts = texts.select("node", "label", "text")
+    # read twice, and in few tasks if the texts are few: a task adds up what its texts share
+    texts = written(texts.select("node", "label", "text"), "left")
     # a text has a k-mer once, so that of one text only has its node and size
-    counted = written(small_batches(texts).mapInArrow(spread, "node bigint, size bigint, kmer bigint").groupBy("kmer").agg(F.count("*").alias("texts"), F.min("node").alias("node"), F.min("size").alias("size")), "counted")
+    counted = small_batches(texts).mapInArrow(spread, "kmer bigint, texts bigint, node bigint, size bigint").groupBy("kmer")
+    counted = written(counted.agg(F.sum("texts").alias("texts"), F.min("node").alias("node"), F.min("size").alias("size")), "counted")
     common = counted.where("texts > 1").select("kmer", "texts")
     # k-mers of one text only match nothing, and are its rarest: texts of too many of them need no rows, the others' own none but their number
     own = counted.where("texts = 1").groupBy("node").agg(F.count("*").alias("own"), F.min("size").alias("size"))
@@ -359,6 +363,32 @@ def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
+def _added_up(parts: Iterator[np.ndarray], most: int) -> Iterator[np.ndarray]:
+    """Columns (kmer, texts, node, size) of parts, one for each k-mer: the sum of texts, the least node and size.
+
+    Of about most columns at a time: then those that are still more than half as many go out, and a k-mer may come again.
+    """
+
+    def added() -> np.ndarray:
+        x = np.concatenate(held, axis=1)
+        x = x[:, np.argsort(x[0], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]]))
+        return np.stack([x[0, first], np.add.reduceat(x[1], first), *(np.minimum.reduceat(c, first) for c in x[2:])])
+
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += part.shape[1]
+        if n >= most:
+            held = [added()]
+            n = held[0].shape[1]
+            if n > most // 2:
+                yield held[0]
+                held, n = [], 0
+    if n:
+        yield added()
+
+
 def _commonest(counts: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
     """At most most rows of counts (kmer, texts), as arrays by kmer, and the rows beside them: none of these has as many texts as any of those.
 
